@@ -1,0 +1,181 @@
+"""Items that appear together: an incrementally kept table of pair counts.
+
+The table keeps four relations in hash buckets below one folder of the shared file system:
+
+* ``baskets``   the current items of every basket, needed to undo a basket that changes later;
+* ``totals``    number of non-empty baskets per group;
+* ``marginals`` number of baskets per group and item;
+* ``pairs``     number of baskets per group and unordered pair of items.
+
+``apply`` takes changed baskets only. Each emits its old pairs with sign -1 and its new pairs with +1; the deltas are
+summed map-side and then merged into the buckets they touch, untouched buckets stay as files of an older generation.
+``scores`` joins counts and marginals; ``affected`` restricts it to what the last change can have altered.
+
+Pairs are listed inside the JVM from sorted item arrays. Baskets longer than ``BLOCK`` items are cut into blocks and
+spread over the cluster block pair by block pair, so that one giant basket never is one task's work.
+
+Defined results: null items, null baskets and null arrays count nothing; a repeated item counts once in a basket; an
+empty array removes the basket; rows that repeat a basket id within one change are united; null group columns form a
+group of their own; extra columns of any name are ignored; an empty change leaves the table as it is.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BLOCK = 64
+#: From this many items on, a basket is spread over tasks.
+WIDE = 512
+
+
+def normal_path(path: Column) -> Column:
+    """A changed path as the file table writes it: no outer blanks, forward slashes, no leading ``./``; empty is null."""
+    clean = F.regexp_replace(F.translate(F.trim(path), "\\", "/"), r"^(\./+)+", "")
+    return F.when(clean != "", clean)
+
+
+def _same(a: DataFrame, b: DataFrame, cols: list[str]) -> Column:
+    out = None
+    for c in cols:
+        one = a[c].eqNullSafe(b[c])
+        out = one if out is None else out & one
+    return out
+
+
+def _block_pairs(items: str) -> str:
+    blocks = f"transform(sequence(0, cast((size({items}) - 1) / {BLOCK} as int)), b -> slice({items}, b * {BLOCK} + 1, {BLOCK}))"
+    return f"flatten(transform({blocks}, (x, i) -> transform(slice({blocks}, i + 1, size({blocks})), (y, j) -> struct(x as x, y as y, j = 0 as own))))"
+
+
+def basket_pairs(baskets: DataFrame, keep: list[str], items: str = "_items") -> DataFrame:
+    """One row per basket and unordered pair (``_a`` < ``_b``) of its sorted distinct items."""
+    rows = baskets.filter(F.size(items) >= 2)
+    own = f"flatten(transform({items}, (a, i) -> transform(slice({items}, i + 2, size({items})), b -> struct(a as _a, b as _b))))"
+    small = rows.filter(F.size(items) <= WIDE).select(*keep, F.expr(f"inline({own})"))
+    cut = rows.filter(F.size(items) > WIDE).select(*keep, F.expr(f"inline({_block_pairs(items)})"))
+    cut = cut.repartition(F.xxhash64("x", "y"))
+    both = (
+        "if(own, flatten(transform(x, (a, i) -> transform(slice(x, i + 2, size(x)), b -> struct(a as _a, b as _b)))),"
+        " flatten(transform(x, a -> transform(y, b -> struct(a as _a, b as _b)))))"
+    )
+    return small.unionByName(cut.select(*keep, F.expr(f"inline({both})")))
+
+
+class PairTable:
+    """Persistent pair counts below ``path``; see the module's text."""
+
+    def __init__(self, spark: SparkSession, path: str, group: dict[str, str], item_type: str = "string", buckets: int = 16):
+        self.spark, self.path, self.group, self.buckets = spark, path, list(group), buckets
+        self.generation = 0
+        self.at: dict[str, dict[int, int]] = {n: {} for n in ("baskets", "totals", "marginals", "pairs")}
+        key = "".join(f"`{k}` {t}, " for k, t in group.items())
+        self.schema = {
+            "baskets": f"{key}_basket string, _items array<{item_type}>",
+            "totals": f"{key}_n bigint",
+            "marginals": f"{key}_a {item_type}, _n bigint",
+            "pairs": f"{key}_a {item_type}, _b {item_type}, _n bigint",
+        }
+        self.keys = {"baskets": [*self.group, "_basket"], "totals": self.group, "marginals": [*self.group, "_a"], "pairs": [*self.group, "_a", "_b"]}
+        self.touched: DataFrame | None = None
+
+    def read(self, name: str, only: set[int] | None = None) -> DataFrame:
+        """The current rows of a relation, of some buckets or of all."""
+        paths = [f"{self.path}/{name}/gen={g}/_bucket={b}" for b, g in sorted(self.at[name].items()) if only is None or b in only]
+        schema = self.schema[name]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _write(self, name: str, rows: DataFrame, buckets: set[int]) -> None:
+        to = f"{self.path}/{name}/gen={self.generation}"
+        rows.withColumn("_bucket", self._bucket(name)).repartition("_bucket").write.partitionBy("_bucket").mode("overwrite").parquet(to)
+        have = self._listed(to)
+        for b in buckets | have:
+            if b in have:
+                self.at[name][b] = self.generation
+            else:
+                self.at[name].pop(b, None)
+
+    def _listed(self, to: str) -> set[int]:
+        """Buckets written, from the folder's listing: as many entries as there are buckets at most."""
+        jvm = self.spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(to)
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(at)]
+        return {int(n.split("=")[1]) for n in names if n.startswith("_bucket=")}
+
+    def _bucket(self, name: str) -> Column:
+        return F.pmod(F.xxhash64(*self.keys[name]), F.lit(self.buckets)).cast("int")
+
+    def apply(self, changed: DataFrame, basket: str, items: str) -> None:
+        """Take changed baskets (group columns, ``basket``, ``items`` array) as the baskets' new content."""
+        self.generation += 1
+        g = self.group
+        new = (
+            changed.select(*g, F.col(basket).cast("string").alias("_basket"), F.array_compact(F.coalesce(F.col(items), F.array())).alias("_items"))
+            .filter(F.col("_basket").isNotNull())
+            .groupBy(*g, "_basket")
+            .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"))
+        )
+        at = f"{self.path}/incoming/gen={self.generation}"
+        new.write.mode("overwrite").parquet(at)
+        new = self.spark.read.parquet(at)
+        signed = new.withColumn("_sign", F.lit(1))
+        old = self.read("baskets")
+        if self.at["baskets"]:
+            before = old.join(new.select(*g, "_basket").alias("n"), _same(old, new, [*g, "_basket"]), "left_semi")
+            signed = signed.unionByName(before.withColumn("_sign", F.lit(-1)))
+        signed = signed.filter(F.size("_items") > 0)
+        deltas = {
+            "totals": signed.groupBy(*g).agg(F.sum("_sign").alias("_n")),
+            "marginals": signed.select(*g, "_sign", F.explode("_items").alias("_a")).groupBy(*g, "_a").agg(F.sum("_sign").alias("_n")),
+            "pairs": basket_pairs(signed, [*g, "_sign"]).groupBy(*g, "_a", "_b").agg(F.sum("_sign").alias("_n")),
+        }
+        for name, delta in deltas.items():
+            if self.at[name]:
+                at = f"{self.path}/delta-{name}/gen={self.generation}"
+                delta.filter("_n <> 0").withColumn("_bucket", self._bucket(name)).write.partitionBy("_bucket").mode("overwrite").parquet(at)
+                hit = self._listed(at)
+                delta = self.spark.read.schema(self.schema[name] + ", _bucket int").parquet(at).drop("_bucket")
+                delta = delta.unionByName(self.read(name, hit)).groupBy(*self.keys[name]).agg(F.sum("_n").alias("_n"))
+            else:
+                hit = set()
+            self._write(name, delta.filter("_n <> 0"), hit)
+        if self.at["baskets"]:
+            kept = old.join(new.select(*g, "_basket"), _same(old, new, [*g, "_basket"]), "left_anti")
+            new_state, hit = kept.unionByName(new.select(*g, "_basket", "_items")), set(self.at["baskets"])
+        else:
+            new_state, hit = new.select(*g, "_basket", "_items"), set()
+        self._write("baskets", new_state.filter(F.size("_items") > 0), hit)
+        self.touched = signed.select(*g).distinct()
+
+    def scores(self, min_count: int = 1, affected: bool = False) -> DataFrame:
+        """Group columns, ``item_a``, ``item_b``, ``n``, ``n_a``, ``n_b``, ``n_ab``, ``lift``, ``confidence`` (of b given a).
+
+        ``affected``: only groups that the last change touched, whose totals, and so all their scores, may differ.
+        """
+        g = self.group
+        pairs = self.read("pairs").filter(F.col("_n") >= min_count)
+        if affected and self.touched is not None:
+            t = self.touched
+            pairs = pairs.join(t, _same(pairs, t, g), "left_semi")
+        m, t = self.read("marginals"), self.read("totals")
+
+        def renamed(x: DataFrame, tag: str, *, item: bool) -> DataFrame:
+            return x.select(*[F.col(c).alias(f"{tag}{i}") for i, c in enumerate(g)], *([F.col("_a").alias(f"{tag}_item")] if item else []), F.col("_n").alias(f"{tag}_n"))
+
+        def on(tag: str) -> Column:
+            out = F.lit(True)
+            for i, c in enumerate(g):
+                out = out & F.col(c).eqNullSafe(F.col(f"{tag}{i}"))
+            return out
+
+        rows = (
+            pairs.join(renamed(m, "l", item=True), on("l") & (F.col("_a") == F.col("l_item")))
+            .join(renamed(m, "r", item=True), on("r") & (F.col("_b") == F.col("r_item")))
+            .join(renamed(t, "t", item=False), on("t"))
+        )
+        n, na, nb, nab = F.col("t_n"), F.col("l_n"), F.col("r_n"), F.col("_n")
+        return rows.select(
+            *g, F.col("_a").alias("item_a"), F.col("_b").alias("item_b"), n.alias("n"), na.alias("n_a"), nb.alias("n_b"), nab.alias("n_ab"),
+            (nab * n / (na * nb)).alias("lift"), (nab / na).alias("confidence"),
+        )

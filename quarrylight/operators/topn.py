@@ -1,0 +1,65 @@
+"""The N best items of every group, exactly, also where groups are huge, skewed or tied.
+
+Method: rows are spread by (group, salt of the item) and reduced there to the highest score of each item. A histogram of
+scores per group, over a fixed monotone scale, gives the lowest bin that still leaves at least N items at or above it;
+items below are dropped. The survivors are ranked inside each (group, salt), at most N of each go on, and only those
+meet in one window per group. No task ever holds a whole group: a group of any size sends N * salts rows at most to its
+last window, even where all scores tie.
+
+Bins are ``floor(16 * log1p(1024 * |score|))`` with the score's sign. The JVM's log1p is semi-monotonic, products and
+floor are monotone, so a higher score never lies in a lower bin and the threshold is safe.
+
+Defined results: rows with a null item, null or NaN score are left out; infinite scores count; an item counts once per
+group with its highest score; ties go by item ascending in byte order; N below 1 is taken as 1, a null N as
+``default_n``; null keys form a group; extra columns of any name are ignored; an empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+SALTS = 16
+
+
+def score_bin(score: Column) -> Column:
+    """A monotone, coarse integer scale of doubles."""
+    size = F.floor(16 * F.log1p(1024 * F.least(F.abs(score), F.lit(1e300)))).cast("int")
+    return F.when(score < 0, -size - 1).otherwise(size)
+
+
+def top_n_per_group(rows: DataFrame, keys: list[str], item: str, score: str, n: int | DataFrame = 10, n_col: str = "n", default_n: int = 10, salts: int = SALTS) -> DataFrame:
+    """Columns ``keys``, ``item``, ``score``, ``rank`` (from 1). ``n``: one number, or a table of ``keys`` and ``n_col``."""
+    k = [f"_k{i}" for i in range(len(keys))]
+    base = rows.select(*[F.col(c).alias(a) for c, a in zip(keys, k)], F.col(item).alias("_item"), F.col(score).cast("double").alias("_score"))
+    base = base.filter(F.col("_item").isNotNull() & F.col("_score").isNotNull() & ~F.isnan("_score"))
+    spread = base.withColumn("_salt", F.pmod(F.xxhash64("_item"), F.lit(salts)).cast("int")).repartition(*k, "_salt")
+    items = spread.groupBy(*k, "_salt", "_item").agg(F.max("_score").alias("_score")).withColumn("_bin", score_bin(F.col("_score")))
+
+    bins = items.groupBy(*k, "_bin").agg(F.count(F.lit(1)).alias("_c"))
+    if isinstance(n, DataFrame):
+        limits = n.select(*[F.col(c).alias(f"_l{i}") for i, c in enumerate(keys)], F.col(n_col).cast("int").alias("_want"))
+        # one number per group, should a group be listed more than once; null only where all are null
+        limits = limits.groupBy(*[f"_l{i}" for i in range(len(keys))]).agg(F.max("_want").alias("_want"))
+        on = F.lit(True)
+        for i, a in enumerate(k):
+            on = on & F.col(a).eqNullSafe(F.col(f"_l{i}"))
+        bins = bins.join(limits, on, "left").drop(*[f"_l{i}" for i in range(len(keys))])
+        bins = bins.withColumn("_want", F.greatest(F.lit(1), F.coalesce(F.col("_want"), F.lit(default_n))))
+    else:
+        bins = bins.withColumn("_want", F.lit(max(1, n)))
+    down = Window.partitionBy(*k).orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, 0)
+    cut = (
+        bins.withColumn("_cum", F.sum("_c").over(down))
+        .groupBy(*k)
+        .agg(F.max("_want").alias("_want"), F.max(F.when(F.col("_cum") >= F.col("_want"), F.col("_bin"))).alias("_low"))
+        .select(*[F.col(a).alias(f"_t{i}") for i, a in enumerate(k)], "_want", "_low", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_tsalt"))
+    )
+    on = F.col("_salt") == F.col("_tsalt")
+    for i, a in enumerate(k):
+        on = on & F.col(a).eqNullSafe(F.col(f"_t{i}"))
+    kept = items.join(cut, on).filter(F.col("_low").isNull() | (F.col("_bin") >= F.col("_low")))
+    order = [F.desc("_score"), F.asc("_item")]
+    near = kept.withColumn("_r", F.row_number().over(Window.partitionBy(*k, "_salt").orderBy(*order))).filter("_r <= _want")
+    best = near.withColumn("_r", F.row_number().over(Window.partitionBy(*k).orderBy(*order))).filter("_r <= _want")
+    return best.select(*[F.col(a).alias(c) for a, c in zip(k, keys)], F.col("_item").alias("item"), F.col("_score").alias("score"), F.col("_r").alias("rank"))
