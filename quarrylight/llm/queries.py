@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import encode, secrets, syntax
+from . import encode, provenance, secrets, syntax
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,9 +24,17 @@ def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.redacted(table(spark, sf_dir, "source_reads"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return provenance.foreign_files(table(spark, sf_dir, "files"), table(spark, sf_dir, "source_reads")).select("repo_id", "path")
+
+
+def p5_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return provenance.foreign_files(table(spark, sf_dir, "files"), table(spark, sf_dir, "source_reads"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p4_found": p4_found, "p4_redacted": p4_redacted, "p6_ids": p6_ids}
+QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_kinds": p5_kinds, "p6_ids": p6_ids}
 SQL: dict[str, str] = {}

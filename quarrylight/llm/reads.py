@@ -13,4 +13,4 @@ def extension(path: str = "path") -> Column:
 
 def newest(at: str, tie: str) -> Column:
     """The order of reads or scans: by time, then by id; a null time is the oldest."""
-    return F.struct(F.coalesce(F.col(at).cast("double"), F.lit(float("-inf"))), F.col(tie))
+    return F.struct(F.col(at), F.col(tie))
