@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import encode, provenance, secrets, syntax
+from . import encode, leaks, provenance, readability, secrets, syntax
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,5 +36,13 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_kinds": p5_kinds, "p6_ids": p6_ids}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readability.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "level_labels")).select("doc_id", "reading_level")
+
+
+QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_kinds": p5_kinds, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 SQL: dict[str, str] = {}
