@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dealt
+from . import code, dealt
 
-MODULES = (dealt,)
+MODULES = (code, dealt)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dealt.p3_found(spark, sf_dir)
+    return code.lexical_search(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
