@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import code, dealt
+from . import code, dealt, ranking
 
-MODULES = (code, dealt)
+MODULES = (ranking, code, dealt)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.lexical_search(spark, sf_dir)
+    return ranking.context_plan(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
