@@ -296,7 +296,7 @@ sym AS (SELECT DISTINCT repo_id, path, language, f.name AS name, f.kind AS kind,
 IMPORTS_SQL = LINES_SQL + f""", imp0 AS (SELECT *, {_first_sql(symbols.IMPORTS, lambda r: f"{{'raw': regexp_extract(line, '{r[1].replace(chr(39), chr(39) * 2)}', 1), 'c': {r[2]}::DOUBLE}}")} AS f FROM lines_),
 imp AS (SELECT repo_id, path AS source_path, language, f.raw AS raw, max(f.c) AS confidence FROM imp0 WHERE f IS NOT NULL AND f.raw <> '' GROUP BY 1, 2, 3, 4)"""
 EDGE_ANCHORS_SQL = ", ea AS (SELECT * FROM (SELECT repo_id, source_path AS path, row_number() OVER (PARTITION BY repo_id ORDER BY count(*) DESC, source_path) AS ord FROM edges_ GROUP BY 1, 2) WHERE ord <= 3)"
-RELATED_SQL = EDGE_ANCHORS_SQL + ", rel AS (SELECT repo_id, source_path, target_path, kind, confidence, min(d) AS direction, min(ord) AS anchor_ord FROM (SELECT e.*, 0 AS d, a.ord FROM edges_ e JOIN ea a ON a.repo_id = e.repo_id AND a.path = e.source_path UNION ALL SELECT e.*, 1, a.ord FROM edges_ e JOIN ea a ON a.repo_id = e.repo_id AND a.path = e.target_path) GROUP BY 1, 2, 3, 4, 5)"
+RELATED_SQL = EDGE_ANCHORS_SQL + ", rel AS (SELECT repo_id, source_path, target_path, kind, confidence, min(d)::BIGINT AS direction, min(ord) AS anchor_ord FROM (SELECT e.*, 0 AS d, a.ord FROM edges_ e JOIN ea a ON a.repo_id = e.repo_id AND a.path = e.source_path UNION ALL SELECT e.*, 1, a.ord FROM edges_ e JOIN ea a ON a.repo_id = e.repo_id AND a.path = e.target_path) GROUP BY 1, 2, 3, 4, 5)"
 STEM_TOKENS = r"list_distinct(list_filter(string_split_regex(lower(regexp_replace(regexp_extract({}, '([^/]+?)(?:\.[^/]*)?$', 1), '([a-z])([A-Z])', '\1_\2', 'g')), '[^a-z0-9]+'), lambda x: x <> ''))"
 OLD_SQL = f"""old_ AS (SELECT repo_id, path, unnest(f), {P.role_sql('path')} AS role FROM (SELECT repo_id, path, arg_max({{'size_bytes': size_bytes, 'hash': hash}}, {{'a': scanned_at, 'h': hash}}) AS f FROM files WHERE scanned_at < TIMESTAMP '{SNAPSHOT}' GROUP BY 1, 2))"""
 DIFF_SQL = W + f", {OLD_SQL}, j AS (SELECT coalesce(o.repo_id, n.repo_id) AS repo_id, coalesce(o.path, n.path) AS path, o.path IS NULL AS created, n.path IS NULL AS deleted, o.hash IS NOT DISTINCT FROM n.hash AND o.size_bytes IS NOT DISTINCT FROM n.size_bytes AND o.role IS NOT DISTINCT FROM n.role AS same FROM old_ o FULL JOIN files_ n ON o.repo_id = n.repo_id AND o.path = n.path)"

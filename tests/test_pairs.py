@@ -1,0 +1,78 @@
+import itertools
+import random
+from collections import Counter
+
+from quarrylight.operators import pairs as P
+from quarrylight.session import work_path
+
+SCHEMA = "g string, id string, items array<string>, _n bigint, bucket int"
+
+
+def brute(baskets):
+    n, one, two = Counter(), Counter(), Counter()
+    for (g, _), items in baskets.items():
+        s = sorted({i for i in items or [] if i is not None})
+        if s:
+            n[g] += 1
+        for a in s:
+            one[g, a] += 1
+        for a, b in itertools.combinations(s, 2):
+            two[g, a, b] += 1
+    return {(g, a, b): (n[g], one[g, a], one[g, b], k) for (g, a, b), k in two.items()}
+
+
+def rows(table, **kw):
+    return {(r.g, r.item_a, r.item_b): (r.n, r.n_a, r.n_b, r.n_ab) for r in table.scores(**kw).collect()}
+
+
+def frame(spark, baskets):
+    return spark.createDataFrame([(g, i, items, 7, 1) for (g, i), items in baskets.items()], SCHEMA)
+
+
+def test_increments_equal_brute_force(spark):
+    rnd = random.Random(3)
+    make = lambda: [rnd.choice("abcdefghij") for _ in range(rnd.randint(0, 6))]
+    first = {(rnd.choice(["x", "y", None]), str(i)): make() for i in range(60)}
+    t = P.PairTable(spark, work_path(spark, "t"), {"g": "string"}, buckets=4)
+    t.apply(frame(spark, first), "id", "items")
+    assert rows(t) == brute(first)
+    # some change, some vanish, some come, some are as before
+    change = {k: make() for k in list(first)[:15]} | {k: [] for k in list(first)[15:25]} | {("z", str(i)): make() + [None] for i in range(10)} | {k: first[k] for k in list(first)[30:35]}
+    t.apply(frame(spark, change), "id", "items")
+    now = {**first, **change}
+    assert rows(t) == brute(now)
+    touched = {g for g, _ in change}
+    assert rows(t, affected=True).items() <= brute(now).items()
+    assert {g for g, _, _ in rows(t, affected=True)} <= touched
+
+
+def test_empty_changes_and_nulls(spark):
+    t = P.PairTable(spark, work_path(spark, "t"), {"g": "string"}, buckets=2)
+    t.apply(frame(spark, {}), "id", "items")
+    assert rows(t) == {}
+    t.apply(frame(spark, {("x", "1"): None, ("x", "2"): [None, "a", "a"], ("x", "3"): ["a", "b"]}), "id", "items")
+    assert rows(t) == {("x", "a", "b"): (2, 2, 1, 1)}
+    t.apply(frame(spark, {}), "id", "items")
+    assert rows(t) == {("x", "a", "b"): (2, 2, 1, 1)}
+
+
+def test_wide_basket_is_spread_and_whole(spark):
+    items = [f"i{n:04d}" for n in range(P.WIDE + 70)]
+    t = P.PairTable(spark, work_path(spark, "t"), {"g": "string"}, buckets=2)
+    t.apply(frame(spark, {("x", "1"): items, ("x", "2"): items[:3]}), "id", "items")
+    got = rows(t)
+    assert len(got) == len(items) * (len(items) - 1) // 2
+    assert sum(v[3] for v in got.values()) == len(got) + 3
+
+
+def test_repeated_basket_rows_are_united(spark):
+    df = spark.createDataFrame([("x", "1", ["a", "b"], 0, 0), ("x", "1", ["b", "a"], 0, 0), ("x", "1", ["c"], 0, 0)], SCHEMA)
+    t = P.PairTable(spark, work_path(spark, "t"), {"g": "string"}, buckets=2)
+    t.apply(df, "id", "items")
+    assert rows(t) == brute({("x", "1"): ["a", "b", "c"]})
+
+
+def test_normal_path(spark):
+    cases = {"./a/b.py": "a/b.py", " a\\b ": "a/b", "././x": "x", "": None, "  ": None, ".github/x": ".github/x"}
+    df = spark.createDataFrame([(k,) for k in cases], "p string")
+    assert {r.p: r.n for r in df.select("p", P.normal_path(df.p).alias("n")).collect()} == cases
