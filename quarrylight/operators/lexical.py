@@ -29,31 +29,39 @@ def role_bonus(role: Column) -> Column:
     return out
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def exact_scores(docs: DataFrame, terms: list[tuple[str, float]], explicit: list[str] = ()) -> DataFrame:
     """``docs`` (path, role, content and more) with ``score``, rows above 0 only.
 
     The terms of one query are a short list: they are folded over inside one expression, so that a scan of the texts is
     all that runs, without explosion or shuffle.
     """
-    path, content = ascii_lower(F.col("path")), ascii_lower(F.coalesce(F.col("content"), F.lit("")))
-    docs = docs.withColumns({"_path": path, "_name": F.regexp_extract(path, r"([^/]+)$", 1), "_content": content})
-    named = F.col("_path").isin(*explicit) if explicit else F.lit(False)
-    guard = F.lit(bool(explicit)) & ~named
-    part = F.when(guard, 0.25).otherwise(1.0)
+    low = F.struct(ascii_lower(F.col("path")).alias("p"), F.regexp_extract(ascii_lower(F.col("path")), r"([^/]+)$", 1).alias("f"), ascii_lower(F.coalesce(F.col("content"), F.lit(""))).alias("c"))
     asked = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(w).alias("w")) for t, w in terms]) if terms else F.expr("cast(array() as array<struct<t:string,w:double>>)")
 
-    def found(x: Column) -> Column:
-        return F.struct(x["w"].alias("w"), F.contains(F.col("_path"), x["t"]).alias("p"), F.contains(F.col("_name"), x["t"]).alias("f"), T.occurrences(F.col("_content"), x["t"]).alias("n"))
+    def scored(d: Column) -> Column:
+        named = d["p"].isin(*explicit) if explicit else F.lit(False)
+        part = F.when(named | F.lit(not explicit), 1.0).otherwise(0.25)
+
+        def add(a: Column, x: Column) -> Column:
+            def points(h: Column) -> Column:
+                hit = F.when(h["p"], 8.0 * part).otherwise(0.0) + F.when(h["f"], 5.0 * part).otherwise(0.0) + F.when(h["n"] > 0, 2.0 + F.least(h["n"], F.lit(10))).otherwise(0.0)
+                miss = F.when(~h["p"] & ~h["f"] & (h["n"] == 0), 1.0).otherwise(0.0)
+                return F.struct((a["score"] + x["w"] * (hit - miss)).alias("score"), (a["told"] | (h["n"] > 0)).alias("told"))
+
+            return let(F.struct(F.contains(d["p"], x["t"]).alias("p"), F.contains(d["f"], x["t"]).alias("f"), T.occurrences(d["c"], x["t"]).alias("n")), points)
 
-    def points(x: Column) -> Column:
-        hit = F.when(x["p"], 8.0 * part).otherwise(0.0) + F.when(x["f"], 5.0 * part).otherwise(0.0) + F.when(x["n"] > 0, 2.0 + F.least(x["n"], F.lit(10))).otherwise(0.0)
-        return x["w"] * (hit - F.when(~x["p"] & ~x["f"] & (x["n"] == 0), 1.0).otherwise(0.0))
+        return F.aggregate(asked, F.struct(F.when(named, 50.0).otherwise(0.0).alias("score"), named.alias("told")), add)
 
-    docs = docs.withColumn("_hits", F.transform(asked, found))
-    score = F.aggregate("_hits", F.when(named, 50.0).otherwise(0.0), lambda a, x: a + points(x))
-    rows = docs.withColumns({"_score": score, "_told": named | F.exists("_hits", lambda x: x["n"] > 0)}).filter((F.col("_score") > 0) & (~guard | F.col("_told")))
-    total = (F.col("_score") + role_bonus(F.col("role"))) * F.when(F.col("_path").rlike(ARCHIVED), ARCHIVE).otherwise(1.0)
-    return rows.withColumn("score", F.round(total, 6)).drop("_path", "_name", "_content", "_hits", "_score", "_told")
+    # a generator works the score out once and drops the row there and then; a filter would be pushed and repeat it
+    keep = F.filter(F.transform(F.array(low), scored), lambda x: (x["score"] > 0) & (F.lit(not explicit) | x["told"]))
+    rows = docs.select("*", F.inline(F.transform(keep, lambda x: F.struct(x["score"].alias("_score")))))
+    total = (F.col("_score") + role_bonus(F.col("role"))) * F.when(ascii_lower(F.col("path")).rlike(ARCHIVED), ARCHIVE).otherwise(1.0)
+    return rows.withColumn("score", F.round(total, 6)).drop("_score")
 
 
 def search(spark: SparkSession, docs: DataFrame, query: str, limit: int = 20, ties: tuple[str, ...] = ("path",)) -> DataFrame:

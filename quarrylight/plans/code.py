@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions import text as T
 from ..operators import graph, history, inventory, lexical, symbols
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 #: One task that search queries ask.
 TASK = "fix the token ledger: resolve session rows in packages/cell-000/src/build/streamGauge.ts and sync-queue of the broker"
@@ -21,14 +21,17 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The current text of each file."""
-    rows = table(spark, sf_dir, "source_reads").filter("status = 'read'").select("repo_id", "path", "read_id", "read_at")
-    last = rows.groupBy("repo_id", "path").agg(F.max_by("read_id", F.struct("read_at", "read_id")).alias("read_id"))
-    return table(spark, sf_dir, "source_reads").select("read_id", F.col("text").alias("content")).join(last, "read_id").select("repo_id", "path", "content")
+    rows = table(spark, sf_dir, "source_reads").filter("status = 'read'")
+    last = rows.groupBy("repo_id", "path").agg(F.max(F.struct("read_at", "read_id")).alias("last")).select("last.read_id")
+    # texts are the streamed side: they stay where they were scanned unless the ids of current reads are too many to send
+    texts = spread(rows.select("read_id", "repo_id", "path", F.col("text").alias("content")), "read_id")
+    return texts.join(last, "read_id", "left_semi").drop("read_id")
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Current files with role, language and text."""
-    return files(spark, sf_dir).select("repo_id", "path", "role", "language", "ignored", "generated").join(reads(spark, sf_dir), ["repo_id", "path"])
+    f = files(spark, sf_dir).select("repo_id", "path", "role", "language", "ignored", "generated")
+    return reads(spark, sf_dir).join(f, ["repo_id", "path"])
 
 
 FILES_SQL = f"""files_ AS (SELECT repo_id, path, unnest(f), {P.role_sql('path')} AS role, {P.language_sql('path')} AS language, {P.area_sql('path')} AS area FROM (
