@@ -6,19 +6,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .pairs import normal_path
+from .topn import top_n_per_group
 
 #: Name-status letters (fixed values).
 KINDS = {"A": "added", "M": "modified", "D": "deleted", "R": "renamed", "C": "copied", "T": "type_changed"}
 
 
-def commit_files(commits: DataFrame) -> DataFrame:
-    """One row per commit and distinct changed path: repo_id, revision, sha, ord (newest commit 1), path, kind."""
+def commit_files(commits: DataFrame, newest: int | None = None) -> DataFrame:
+    """One row per commit and distinct changed path: repo_id, revision, sha, path, kind, at (the commit's time).
+
+    Repeated commits are united by path. ``newest``: only so many of the latest commits of each sidecar.
+    """
     keys = ["repo_id", "revision"]
-    one = commits.groupBy(*keys, "sha").agg(F.max("committed_at").alias("committed_at"), F.max_by("changed_paths", F.struct(F.size("changed_paths"), "ingested_at")).alias("changed"))
-    ord_ = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("committed_at"), "sha"))
-    rows = one.withColumn("ord", ord_).select(*keys, "sha", "ord", F.explode("changed").alias("c"))
-    rows = rows.select(*keys, "sha", "ord", normal_path(F.col("c.path")).alias("path"), F.col("c.change_kind").alias("kind")).filter("path is not null")
-    return rows.groupBy(*keys, "sha", "ord", "path").agg(F.min("kind").alias("kind"))
+    changed = F.transform("changed_paths", lambda c: F.struct(normal_path(c["path"]).alias("path"), c["change_kind"].alias("kind")))
+    rows = commits.select(*keys, "sha", "committed_at", F.inline(changed)).filter("path is not null")
+    rows = rows.groupBy(*keys, "sha", "path").agg(F.min("kind").alias("kind"), F.max("committed_at").alias("at"))
+    if newest is None:
+        return rows
+    last = top_n_per_group(rows.select(*keys, "sha", seconds(F.col("at")).alias("_s")), keys, "sha", "_s", n=newest).select(*keys, F.col("item").alias("sha"))
+    return rows.join(last, [*keys, "sha"], "left_semi")
+
+
+def seconds(at: Column) -> Column:
+    """A time as a number of seconds with its fraction."""
+    return F.unix_micros(at.cast("timestamp")) / 1e6
 
 
 def labelled(rows: DataFrame, files: DataFrame) -> DataFrame:
@@ -37,15 +48,18 @@ def commit_labels(rows: DataFrame) -> DataFrame:
 def co_change_hints(rows: DataFrame, anchors: DataFrame, safe: DataFrame, limit: int = 20) -> DataFrame:
     """Safe paths changed in commits that touch an anchor (and are none), by commits: count, confidence, newest 3 shas.
 
-    anchors: repo_id, revision, path. Counts and samples are aggregates with partial results; no commit pairs arise.
+    anchors: repo_id, revision, path. Counts have partial results and no commit pairs arise; the best paths of a sidecar
+    and the newest commits of a path are kept by the spread top-N operator, so no task gathers a sidecar.
     """
     keys = ["repo_id", "revision"]
     touched = rows.join(anchors, [*keys, "path"], "left_semi").select(*keys, "sha").distinct()
     others = rows.join(touched, [*keys, "sha"], "left_semi").join(anchors, [*keys, "path"], "left_anti").join(safe.select("repo_id", "path"), ["repo_id", "path"], "left_semi")
-    hints = others.groupBy(*keys, "path").agg(F.countDistinct("sha").alias("commit_count"), F.array_join(F.transform(F.slice(F.array_sort(F.collect_set(F.struct("ord", "sha"))), 1, 3), lambda x: F.substring(x["sha"], 1, 8)), ",").alias("sample"))
-    hints = hints.withColumn("confidence", F.round(F.least(F.col("commit_count") / 5, F.lit(0.95)), 6))
-    best = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("commit_count"), "path"))
-    return hints.withColumn("rank", best).filter(F.col("rank") <= limit)
+    counts = others.groupBy(*keys, "path").agg(F.count(F.lit(1)).alias("n"))
+    best = top_n_per_group(counts, keys, "path", "n", n=limit, salts=4).select(*keys, F.col("item").alias("path"), F.col("score").cast("bigint").alias("commit_count"), "rank")
+    of = others.join(best.select(*keys, "path"), [*keys, "path"], "left_semi").select(*keys, "path", "sha", seconds(F.col("at")).alias("_s"))
+    last = top_n_per_group(of, [*keys, "path"], "sha", "_s", n=3, salts=4)
+    sample = last.groupBy(*keys, "path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item"))), lambda x: F.substring(x["item"], 1, 8)), ",").alias("sample"))
+    return best.join(sample, [*keys, "path"]).withColumn("confidence", F.round(F.least(F.col("commit_count") / 5, F.lit(0.95)), 6))
 
 
 def mentioned_shas(text: Column) -> Column:

@@ -41,10 +41,8 @@ docs_ AS (SELECT f.repo_id, f.path, f.role, f.language, r.content FROM files_ f
 safe_ AS (SELECT * FROM files_ WHERE role IN ('source','test','config','schema','docs') AND NOT coalesce(ignored, false) AND NOT coalesce(generated, false)),
 edges_ AS (SELECT repo_id, source_path, target_path, kind, greatest(0.0, least(1.0, coalesce(max(CASE WHEN isnan(confidence) THEN NULL ELSE confidence END), 0.0)))::DOUBLE AS confidence
   FROM edges WHERE source_path IS NOT NULL AND target_path IS NOT NULL AND source_path <> target_path GROUP BY 1, 2, 3, 4),
-commit_one AS (SELECT repo_id, revision, sha, max(committed_at) AS committed_at, arg_max(changed_paths, {{'n': len(changed_paths), 'i': ingested_at}}) AS changed FROM commits GROUP BY 1, 2, 3),
-commit_ord AS (SELECT *, row_number() OVER (PARTITION BY repo_id, revision ORDER BY committed_at DESC, sha) AS ord FROM commit_one),
-commit_raw AS (SELECT repo_id, revision, sha, ord, unnest(changed) AS c FROM commit_ord),
-commit_files AS (SELECT repo_id, revision, sha, ord, regexp_replace(replace(trim(c.path, ' '), chr(92), '/'), '^(\\./+)+', '') AS path, min(c.change_kind) AS kind FROM commit_raw WHERE c.path IS NOT NULL AND trim(c.path, ' ') <> '' GROUP BY 1, 2, 3, 4, 5),
+commit_raw AS (SELECT repo_id, revision, sha, committed_at, unnest(changed_paths) AS c FROM commits),
+commit_files AS (SELECT repo_id, revision, sha, regexp_replace(replace(trim(c.path, ' '), chr(92), '/'), '^(\\./+)+', '') AS path, min(c.change_kind) AS kind, max(committed_at) AS at_ FROM commit_raw WHERE c.path IS NOT NULL AND trim(c.path, ' ') <> '' GROUP BY 1, 2, 3, 4),
 labelled AS (SELECT c.*, CASE WHEN f.path IS NULL THEN 'historical_only' WHEN f.role = 'generated' THEN 'generated' WHEN f.role = 'sensitive' THEN 'sensitive' ELSE 'safe' END AS scope FROM commit_files c LEFT JOIN files_ f ON f.repo_id = c.repo_id AND f.path = c.path)"""
 W = f"WITH {FILES_SQL} "
 
@@ -204,6 +202,12 @@ def cochange_hints(spark, sf_dir):
     return history.co_change_hints(rows, _anchors(rows), safe, 20).select("repo_id", "revision", "path", "commit_count", "confidence", "sample")
 
 
+def newest_commits(spark, sf_dir):
+    """The 50 newest commits of each sidecar, with their distinct paths."""
+    rows = history.commit_files(table(spark, sf_dir, "commits"), newest=50)
+    return rows.groupBy("repo_id", "revision").agg(F.countDistinct("sha").alias("commits"), F.countDistinct("path").alias("paths"), F.count(F.lit(1)).alias("changes"))
+
+
 def mentioned_commits(spark, sf_dir):
     """Safe files of the commits that a text names by the first 8 digits."""
     c = history.labelled(history.commit_files(table(spark, sf_dir, "commits")), files(spark, sf_dir))
@@ -332,8 +336,9 @@ SQL = {
     "cochange_hints": W + """, an AS (SELECT * FROM (SELECT repo_id, revision, path, row_number() OVER (PARTITION BY repo_id, revision ORDER BY count(*) DESC, path) AS ord FROM commit_files GROUP BY 1, 2, 3) WHERE ord <= 3),
 touched AS (SELECT DISTINCT c.repo_id, c.revision, c.sha FROM commit_files c JOIN an USING (repo_id, revision, path)),
 o AS (SELECT c.* FROM commit_files c JOIN touched t USING (repo_id, revision, sha) WHERE NOT EXISTS (SELECT 1 FROM an WHERE an.repo_id = c.repo_id AND an.revision = c.revision AND an.path = c.path) AND EXISTS (SELECT 1 FROM safe_ s WHERE s.repo_id = c.repo_id AND s.path = c.path)),
-h AS (SELECT repo_id, revision, path, count(DISTINCT sha) AS commit_count, array_to_string(list_transform((list(sha ORDER BY ord))[1:3], lambda x: left(x, 8)), ',') AS sample FROM o GROUP BY 1, 2, 3)
+h AS (SELECT repo_id, revision, path, count(DISTINCT sha) AS commit_count, array_to_string(list_transform((list(sha ORDER BY at_ DESC, sha))[1:3], lambda x: left(x, 8)), ',') AS sample FROM o GROUP BY 1, 2, 3)
 SELECT repo_id, revision, path, commit_count, round(least(commit_count / 5.0, 0.95), 6)::DOUBLE AS confidence, sample FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, revision ORDER BY commit_count DESC, path) AS rk FROM h) WHERE rk <= 20""",
+    "newest_commits": W + ", n AS (SELECT repo_id, revision, sha FROM (SELECT repo_id, revision, sha, row_number() OVER (PARTITION BY repo_id, revision ORDER BY max(at_) DESC, sha) AS r FROM commit_files GROUP BY 1, 2, 3) WHERE r <= 50) SELECT repo_id, revision, count(DISTINCT sha) AS commits, count(DISTINCT path) AS paths, count(*) AS changes FROM commit_files JOIN n USING (repo_id, revision, sha) GROUP BY 1, 2",
     "mentioned_commits": W + "SELECT repo_id, count(DISTINCT CASE WHEN scope = 'safe' THEN path END) AS safe_paths, count(*) FILTER (scope <> 'safe') AS excluded FROM labelled WHERE left(sha, 8) IN (SELECT left(sha, 8) FROM commits WHERE title LIKE 'callers%') GROUP BY 1",
     "related_edges": W + RELATED_SQL + " SELECT * FROM rel",
     "ranked_edges": W + RELATED_SQL + f", s AS (SELECT *, len(list_intersect({STEM_TOKENS.format('source_path')}, {STEM_TOKENS.format('target_path')})) AS shared FROM rel) SELECT repo_id, source_path, target_path, kind, shared, rank FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY direction, anchor_ord, shared DESC, confidence DESC, source_path, target_path, kind) AS rank FROM s) WHERE rank <= 40",
@@ -349,6 +354,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         role_counts, language_counts, path_classes, area_rollup, area_mode_role, area_families_top, broad_area_top4, inventory_fingerprint, snapshot_diff, store_merge, vector_upsert, read_status, tokenized_queries, identifier_parts, task_information, explicit_paths_found, lexical_search, bm25_search,
-        symbol_extract, symbol_search, import_extract, import_resolve, commit_labels, change_kinds, cochange_hints, mentioned_commits, related_edges, ranked_edges, two_hop_edges, edge_import, graph_nodes, graph_communities, related_tests,
+        symbol_extract, symbol_search, import_extract, import_resolve, commit_labels, change_kinds, cochange_hints, newest_commits, mentioned_commits, related_edges, ranked_edges, two_hop_edges, edge_import, graph_nodes, graph_communities, related_tests,
     )
 }
