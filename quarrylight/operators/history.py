@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .pairs import normal_path
-from .topn import top_n_per_group
+from .topn import first_rows
 
 #: Name-status letters (fixed values).
 KINDS = {"A": "added", "M": "modified", "D": "deleted", "R": "renamed", "C": "copied", "T": "type_changed"}
@@ -23,13 +23,8 @@ def commit_files(commits: DataFrame, newest: int | None = None) -> DataFrame:
     rows = rows.groupBy(*keys, "sha", "path").agg(F.min("kind").alias("kind"), F.max("committed_at").alias("at"))
     if newest is None:
         return rows
-    last = top_n_per_group(rows.select(*keys, "sha", seconds(F.col("at")).alias("_s")), keys, "sha", "_s", n=newest).select(*keys, F.col("item").alias("sha"))
-    return rows.join(last, [*keys, "sha"], "left_semi")
-
-
-def seconds(at: Column) -> Column:
-    """A time as a number of seconds with its fraction."""
-    return F.unix_micros(at.cast("timestamp")) / 1e6
+    shas = rows.groupBy(*keys, "sha").agg(F.max("at").alias("at"))
+    return rows.join(first_rows(shas, keys, [F.desc("at"), "sha"], newest), [*keys, "sha"], "left_semi")
 
 
 def labelled(rows: DataFrame, files: DataFrame) -> DataFrame:
@@ -49,16 +44,15 @@ def co_change_hints(rows: DataFrame, anchors: DataFrame, safe: DataFrame, limit:
     """Safe paths changed in commits that touch an anchor (and are none), by commits: count, confidence, newest 3 shas.
 
     anchors: repo_id, revision, path. Counts have partial results and no commit pairs arise; the best paths of a sidecar
-    and the newest commits of a path are kept by the spread top-N operator, so no task gathers a sidecar.
+    and the newest commits of a path are cut before the exchange, so no task gathers a sidecar.
     """
     keys = ["repo_id", "revision"]
     touched = rows.join(anchors, [*keys, "path"], "left_semi").select(*keys, "sha").distinct()
     others = rows.join(touched, [*keys, "sha"], "left_semi").join(anchors, [*keys, "path"], "left_anti").join(safe.select("repo_id", "path"), ["repo_id", "path"], "left_semi")
     counts = others.groupBy(*keys, "path").agg(F.count(F.lit(1)).alias("n"))
-    best = top_n_per_group(counts, keys, "path", "n", n=limit, salts=4).select(*keys, F.col("item").alias("path"), F.col("score").cast("bigint").alias("commit_count"), "rank")
-    of = others.join(best.select(*keys, "path"), [*keys, "path"], "left_semi").select(*keys, "path", "sha", seconds(F.col("at")).alias("_s"))
-    last = top_n_per_group(of, [*keys, "path"], "sha", "_s", n=3, salts=4)
-    sample = last.groupBy(*keys, "path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item"))), lambda x: F.substring(x["item"], 1, 8)), ",").alias("sample"))
+    best = first_rows(counts.withColumnRenamed("n", "commit_count"), keys, [F.desc("commit_count"), "path"], limit)
+    last = first_rows(others.select(*keys, "path", "sha", "at"), [*keys, "path"], [F.desc("at"), "sha"], 3, "_r")
+    sample = last.groupBy(*keys, "path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "sha"))), lambda x: F.substring(x["sha"], 1, 8)), ",").alias("sample"))
     return best.join(sample, [*keys, "path"]).withColumn("confidence", F.round(F.least(F.col("commit_count") / 5, F.lit(0.95)), 6))
 
 

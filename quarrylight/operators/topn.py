@@ -63,3 +63,12 @@ def top_n_per_group(rows: DataFrame, keys: list[str], item: str, score: str, n:
     near = kept.withColumn("_r", F.row_number().over(Window.partitionBy(*k, "_salt").orderBy(*order))).filter("_r <= _want")
     best = near.withColumn("_r", F.row_number().over(Window.partitionBy(*k).orderBy(*order))).filter("_r <= _want")
     return best.select(*[F.col(a).alias(c) for a, c in zip(k, keys)], F.col("_item").alias("item"), F.col("_score").alias("score"), F.col("_r").alias("rank"))
+
+
+def first_rows(rows: DataFrame, keys: list[str], order: list, n: int, rank: str = "rank") -> DataFrame:
+    """The first ``n`` rows of each group, for one fixed number and rows that are distinct already.
+
+    A row number below a literal lets the planner keep ``n`` rows a group and task before the exchange, so a group of
+    any size sends as many rows as there are tasks times ``n``.
+    """
+    return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= n)
