@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import map_arrow
+
 from .topn import top_n_per_group
 
 #: Query vectors that a block holds and broadcasts (64 dimensions: about 1 MB a thousand).
@@ -48,7 +50,7 @@ def cosine_top(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "
                 i, j = np.nonzero((s >= low[None, :]) & np.isfinite(s))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(items[i]), pa.array(np.round(s[i, j], 6))], names=["query_id", "item", "score"])
 
-        got = base.mapInArrow(run, "query_id bigint, item bigint, score double")
+        got = map_arrow(base, run, "query_id bigint, item bigint, score double")
         out = got if out is None else out.unionByName(got)
     return top_n_per_group(out, ["query_id"], "item", "score", n=k, salts=4)
 
