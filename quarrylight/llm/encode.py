@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import map_arrow
+
 #: Splits text before the merges of the vocabulary (fixed value of the public tokenizer).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -126,4 +128,4 @@ def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), known.encode(b.column(1))], names=["doc_id", "ids"])
 
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, ids array<int>")
+    return map_arrow(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")), run, "doc_id bigint, ids array<int>")

@@ -30,9 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import map_arrow
+
 WORDS, PIECE, BLOCK = 25, 3, 20_000
 #: Least hits of an item in a document before it is verified, least words of one passage, and words that both keep.
-HITS, PASSAGE, KEPT = 2, 7, 20
+HITS, PASSAGE, KEPT = 2, 7, 22
 #: Share of a passage's words that edits may touch.
 EDITS = 0.4
 #: The largest gap between chained hits, and how far they may leave their diagonal.
@@ -251,7 +253,7 @@ def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
                 got = [(ids_[r], i, k) for r, i, k in matches(sent.value, texts_, least)]
                 yield pa.RecordBatch.from_arrays([pa.array([g[j] for g in got], pa.int64()) for j in range(3)], names=["doc_id", "item_id", "words"])
 
-        part = rows.mapInArrow(run, "doc_id bigint, item_id bigint, words bigint")
+        part = map_arrow(rows, run, "doc_id bigint, item_id bigint, words bigint")
         out = part if out is None else out.unionByName(part)
     return out.groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))
 

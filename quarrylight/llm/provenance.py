@@ -7,7 +7,7 @@ Three sources of evidence, the first found names the kind:
   space and name length of minified text, share of numbers and of long literals in data; a file that was too large to
   be read is data;
 * other files: an inverted index of line hashes gives the exact share of a file's lines that one file of another
-  repository holds (at least ``SHARE`` of them, ``LEAST`` lines); files without text follow files of the same hash.
+  repository holds (at least ``SHARE`` of them, ``SHARED`` lines; whole copies from ``LEAST`` lines on); files without text follow files of the same hash.
 
 Containment without all pairs: files of equal line sets form one class, a class in two repositories is a copy. A class of
 one repository can be contained elsewhere only if enough of its lines occur elsewhere at all; that is one aggregate over
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import work_path
+from ..session import map_arrow, work_path
 from .reads import extension, newest
 
 CODE = ("py", "ts", "js", "rs", "go", "java", "tsx", "jsx", "mjs", "cjs", "kt", "c", "cc", "h", "cpp", "cs", "rb", "php", "swift", "scala")
@@ -40,7 +40,7 @@ GENERATED_NAME = r"(?:\.pb\.(?:go|cc|h)|_pb2(?:_grpc)?\.py|_pb\.(?:js|ts|d\.ts)|
 BUNDLE_NAME = r"(?:\.bundle\.js|-all\.js|\.[0-9a-f]{8}\.js)$"
 OVERSIZED = 1_000_000
 
-SHARE, LEAST, FIRST, LINE = 0.6, 8, 32, 8
+SHARE, LEAST, SHARED, FIRST, LINE = 0.6, 8, 12, 32, 8
 
 COMMENT = re.compile(r"^\s*(?://+!?|#+!?|/\*+!?|\*+|--|;+|<!--|\"\"\"|''')\s*(.*?)\s*(?:\*+/|-->|\"\"\"|''')?\s*$")
 GENERATED_HEAD = re.compile(
@@ -114,7 +114,7 @@ def read_features(reads: DataFrame) -> DataFrame:
 
     rows = reads.filter((F.col("status") == "read") & extension().isin(*CODE))
     rows = rows.select("repo_id", "path", F.col("read_at").cast("timestamp").alias("read_at"), F.col("read_id").cast("bigint").alias("read_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "repo_id string, path string, read_at timestamp, read_id bigint, text_kind string, lines array<bigint>, blank boolean")
+    return map_arrow(rows, run, "repo_id string, path string, read_at timestamp, read_id bigint, text_kind string, lines array<bigint>, blank boolean")
 
 
 def _same_file(a: DataFrame, b: DataFrame) -> Column:
@@ -126,6 +126,7 @@ def current_files(files: DataFrame, reads: DataFrame) -> DataFrame:
     scan = files.groupBy("repo_id", "path").agg(F.max_by(F.struct("size_bytes", "hash"), newest("scanned_at", "hash")).alias("_f")).select("repo_id", "path", "_f.*")
     read = read_features(reads).groupBy("repo_id", "path").agg(F.max_by(F.struct("text_kind", "lines", "blank"), newest("read_at", "read_id")).alias("_t"))
     read = read.select(F.col("repo_id").alias("_repo"), F.col("path").alias("_path"), "_t.*", F.lit(True).alias("_read"))
+    large = reads.filter("reason = 'oversized'").select(F.col("repo_id").alias("_lr"), F.col("path").alias("_lp"), F.lit(True).alias("_large")).distinct()
     code, path = extension().isin(*CODE), F.col("path")
     kind = (
         F.when(path.rlike(LOCKS), "lock")
@@ -133,14 +134,15 @@ def current_files(files: DataFrame, reads: DataFrame) -> DataFrame:
         .when(code & path.rlike(MINIFIED), "minified")
         .when(code & path.rlike(GENERATED_NAME), "generated")
         .when(code & F.col("_read").isNull() & path.rlike(BUNDLE_NAME), "minified")
-        .when(code & F.col("_read").isNull() & (F.col("size_bytes") >= OVERSIZED), "data")
+        .when(code & F.col("_read").isNull() & (F.coalesce(F.col("size_bytes") >= OVERSIZED, F.lit(False)) | F.col("_large").isNotNull()), "data")
     )
-    return scan.join(read, _same_file(scan, read), "left").select(
+    both = scan.join(read, _same_file(scan, read), "left").join(large, scan["repo_id"].eqNullSafe(F.col("_lr")) & scan["path"].eqNullSafe(F.col("_lp")), "left")
+    return both.select(
         "repo_id", "path", "size_bytes", "hash", code.alias("code"), kind.alias("path_kind"), "text_kind", "lines", F.coalesce("blank", F.lit(False)).alias("blank"), F.col("_read").isNotNull().alias("has_text")
     )
 
 
-def copied_classes(rows: DataFrame, share: float = SHARE, least: int = LEAST, first: int = FIRST) -> DataFrame:
+def copied_classes(rows: DataFrame, share: float = SHARE, least: int = LEAST, shared_least: int = SHARED, first: int = FIRST) -> DataFrame:
     """Classes (``cls``, a hash of the line set) that lie in another repository too, wholly or by ``share`` of their lines.
 
     rows: repo_id, lines (sorted distinct hashes), as many rows as files.
@@ -165,7 +167,7 @@ def copied_classes(rows: DataFrame, share: float = SHARE, least: int = LEAST, fi
     alone = index.filter("lo = hi").join(shared, "h").groupBy("cls", "lo", "n").agg(F.count(F.lit(1)).alias("s"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("by"))
     # a container must share one of the n - ceil(share * n) + 1 rarest lines; n - s of the lines occur nowhere else
     need = F.ceil(F.lit(share) * F.col("n"))
-    alone = alone.filter((F.col("s") >= need) & (F.col("s") >= least))
+    alone = alone.filter((F.col("s") >= need) & (F.col("s") >= shared_least))
     probes = alone.select(F.col("cls").alias("a"), F.col("lo").alias("a_repo"), F.explode(F.slice("by", F.lit(1), (F.col("s") - need + 1).cast("int"))).alias("_p")).select("a", "a_repo", F.col("_p.df").alias("df"), F.col("_p.h").alias("h"))
     at = work_path(spark, "probes")
     probes.write.parquet(at)
@@ -175,7 +177,7 @@ def copied_classes(rows: DataFrame, share: float = SHARE, least: int = LEAST, fi
         left = classes.select(F.col("cls").alias("a"), F.col("lines").alias("la"), F.col("n").alias("na"))
         right = classes.select(F.col("cls").alias("b"), F.col("lines").alias("lb"))
         both = F.size(F.array_intersect("la", "lb"))
-        near = pairs.distinct().join(left, "a").join(right, "b").filter((both >= F.ceil(F.lit(share) * F.col("na"))) & (both >= least))
+        near = pairs.distinct().join(left, "a").join(right, "b").filter((both >= F.ceil(F.lit(share) * F.col("na"))) & (both >= shared_least))
         return near.select(F.col("a").alias("cls")).distinct()
 
     wanted = index.join(probes.select("h").distinct(), "h", "left_semi")

@@ -7,7 +7,8 @@ Words are ranked per language by how many short sentences (up to ``SHORT`` words
 text: long sentences of demanding texts would otherwise make rare words look common. Ranks come from a histogram of
 counts, not from a sort of the vocabulary; words of equal counts share a rank. The logarithms of both measures are set
 against their mean, spread and quantiles within the document's language, which makes languages comparable that have few
-labels, and the level is the rounded least-squares fit of the annotators' mean. The fit needs one aggregate row of sums.
+labels, and the level is the rounded least-squares fit (a cubic) of the annotators' mean, over all languages and drawn
+from there to each language's own labels. The fit needs one aggregate row of sums a language.
 
 The rank table is broadcast up to ``BROADCAST`` words; a larger vocabulary is joined instead, with the same result.
 
@@ -27,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import work_path
+from ..session import map_arrow, work_path
 
-LEAST, SHARE, SHORT, BROADCAST, STEPS = 50, 0.7, 12, 300_000, 200
+LEAST, SHARE, SHORT, BROADCAST, STEPS, DRAW = 50, 0.7, 12, 300_000, 200, 10.0
 
 #: Function words that tell a language (fixed values).
 FUNCTION_WORDS = {
@@ -126,7 +127,7 @@ def measures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
             )
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).filter(F.length("text") >= 2 * LEAST)
-    return rows.mapInArrow(run, "doc_id bigint, lang string, words bigint, sentences bigint, word array<string>, n array<int>, short array<int>")
+    return map_arrow(rows, run, "doc_id bigint, lang string, words bigint, sentences bigint, word array<string>, n array<int>, short array<int>")
 
 
 def word_ranks(found: DataFrame) -> DataFrame:
@@ -170,7 +171,7 @@ def coverage(found: DataFrame, ranks: DataFrame, share: float = SHARE, broadcast
                 out.append(at)
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(out, pa.int64())], names=["doc_id", "lang", "words", "sentences", "at"])
 
-    rows = found.select("doc_id", "lang", "words", "sentences", "word", "n").mapInArrow(run, "doc_id bigint, lang string, words bigint, sentences bigint, at bigint")
+    rows = map_arrow(found.select("doc_id", "lang", "words", "sentences", "word", "n"), run, "doc_id bigint, lang string, words bigint, sentences bigint, at bigint")
     return rows.select("doc_id", "lang", F.log("at").alias("x"), y)
 
 
@@ -179,6 +180,23 @@ def _quantile(value: Column, steps: Column) -> Column:
     return F.size(F.filter(steps, lambda q: q < value)) / F.lit(float(STEPS))
 
 
+def _sum(terms: list[Column], weights: np.ndarray) -> Column:
+    return sum((t * F.lit(float(w)) for t, w in zip(terms, weights)), F.lit(0.0))
+
+
+def fitted(sums: dict[str, np.ndarray], n: int, pairs: list[tuple[int, int]]) -> dict[str | None, np.ndarray]:
+    """Least-squares weights over all languages (under None), and each language's own, drawn towards those by ``DRAW``."""
+
+    def solved(v: np.ndarray, ridge: float, towards: np.ndarray) -> np.ndarray:
+        a = np.zeros((n, n))
+        for (i, j), s in zip(pairs, v):
+            a[i, j] = a[j, i] = s
+        return np.linalg.solve(a + ridge * np.eye(n), v[len(pairs) :] + ridge * towards)
+
+    both = solved(sum(sums.values()), 0.05, np.zeros(n))
+    return {None: both} | {k: solved(v, DRAW, both) for k, v in sorted(sums.items()) if k is not None}
+
+
 def reading_levels(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, reading_level (1-5), and the measures, of every document with enough running prose."""
     spark = docs.sparkSession
@@ -201,16 +219,17 @@ def reading_levels(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     )
     one = labels.filter(F.col("reading_level").between(1, 5)).groupBy("doc_id", "annotator").agg(F.avg("reading_level").alias("v"))
     target = one.groupBy("doc_id").agg(F.avg("v").alias("level"))
-    terms = ["xz", "yz", "xp", "yp"]
-    pairs = [(i, j) for i in range(len(terms) + 1) for j in range(i, len(terms) + 1)]
-    term = [F.col(t) for t in terms] + [F.lit(1.0)]
-    sums = scaled.join(target, "doc_id").agg(*[F.sum(term[i] * term[j]) for i, j in pairs], *[F.sum(t * F.col("level")) for t in term]).first()
-    if sums[len(pairs) - 1]:
-        a = np.zeros((5, 5))
-        for (i, j), v in zip(pairs, sums):
-            a[i, j] = a[j, i] = v
-        weights = np.linalg.solve(a + 0.05 * np.eye(5), np.array(sums[len(pairs) :]))
-        guess = sum((c * F.lit(float(w)) for c, w in zip(term, weights)), F.lit(0.0))
+    x, y = F.col("xz"), F.col("yz")
+    term = [x, y, F.col("xp"), F.col("yp"), x * x, y * y, x * y, x * x * x, y * y * y, F.lit(1.0)]
+    pairs = [(i, j) for i in range(len(term)) for j in range(i, len(term))]
+    # a row per language that has labels; at most as many as FUNCTION_WORDS knows, and "other"
+    sums = scaled.join(target, "doc_id").groupBy("lang").agg(*[F.sum(term[i] * term[j]) for i, j in pairs], *[F.sum(t * F.col("level")) for t in term]).collect()
+    if sums:
+        weights = fitted({r[0]: np.array(r[1:], dtype=float) for r in sums}, len(term), pairs)
+        guess = _sum(term, weights[None])
+        for lang, w in weights.items():
+            if lang is not None:
+                guess = F.when(F.col("lang") == lang, _sum(term, w)).otherwise(guess)
     else:
         guess = 0.5 + 5 * (F.col("xp") + F.col("yp")) / 2
     level = F.least(F.lit(5), F.greatest(F.lit(1), F.round(guess))).cast("bigint")

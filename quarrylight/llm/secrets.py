@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import map_arrow
+
 CHUNK, OVERLAP = 1 << 20, 1 << 10
 MASK = "REDACTED"
 CODE = ("py", "ts", "js", "rs", "go", "java", "tsx", "jsx", "mjs", "kt", "c", "cc", "h", "cpp", "cs", "rb", "php", "swift", "scala")
@@ -321,7 +323,7 @@ def credential_lines(reads: DataFrame, read_id: str = "read_id", path: str = "pa
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nos, pa.int64()), pa.array(kinds, pa.string())], names=["read_id", "line_no", "kinds"])
 
     rows = reads.select(F.col(read_id).cast("bigint").alias("read_id"), F.col(path).cast("string").alias("path"), F.col(text).cast("string").alias("text"))
-    return rows.filter(F.length("text") > 0).mapInArrow(run, "read_id bigint, line_no bigint, kinds string")
+    return map_arrow(rows.filter(F.length("text") > 0), run, "read_id bigint, line_no bigint, kinds string")
 
 
 def redacted(reads: DataFrame, read_id: str = "read_id", path: str = "path", text: str = "text") -> DataFrame:
@@ -336,4 +338,4 @@ def redacted(reads: DataFrame, read_id: str = "read_id", path: str = "path", tex
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32())], names=["read_id", "text", "masks"])
 
     rows = reads.select(F.col(read_id).cast("bigint").alias("read_id"), F.col(path).cast("string").alias("path"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "read_id bigint, text string, masks int")
+    return map_arrow(rows, run, "read_id bigint, text string, masks int")

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import map_arrow
+
 from . import grammar
 from .reads import extension, newest
 
@@ -52,7 +54,7 @@ def parsed_reads(reads: DataFrame) -> DataFrame:
 
     rows = reads.filter((F.col("status") == "read") & extension().isin(*grammar.EXTENSIONS))
     rows = rows.select("repo_id", "path", F.col("read_at").cast("timestamp").alias("read_at"), F.col("read_id").cast("bigint").alias("read_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "repo_id string, path string, read_at timestamp, read_id bigint, language string, state string, foreign string")
+    return map_arrow(rows, run, "repo_id string, path string, read_at timestamp, read_id bigint, language string, state string, foreign string")
 
 
 def current_syntax(reads: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def files_of(spark, rows):
 
 
 def run(spark, reads, files, texts):
-    rows = [(r, p, 100 if s is None else s, h, d) for r, p, s, h, d in files]
+    rows = [(r, p, 100 if s is None else None if s < 0 else s, h, d) for r, p, s, h, d in files]
     return {(r.repo_id, r.path): r.kind for r in V.foreign_files(files_of(spark, rows), reads(texts)).collect()}
 
 
@@ -42,12 +42,12 @@ def test_paths_copies_and_twins(spark, reads):
     lib, own = code(1), code(2)
     edited = lib[:26] + code(3, 4)
     files = [
-        ("a", "third_party/lib/x.py", None, "h1", 1), ("b", "src/x.py", None, "h2", 1), ("b", "src/x.py", None, "h2", 1), ("c", "src/renamed.py", None, "h1", 1), ("a", "src/own.py", None, "h3", 1), ("d", "src/lost.py", None, "h1", 1), ("d", "src/alone.py", None, "h9", 1), ("d", "src/big_table.ts", 4_000_000, "h8", 1), ("d", "Cargo.lock", None, "h7", 1),
+        ("a", "third_party/lib/x.py", None, "h1", 1), ("b", "src/x.py", None, "h2", 1), ("b", "src/x.py", None, "h2", 1), ("c", "src/renamed.py", None, "h1", 1), ("a", "src/own.py", None, "h3", 1), ("d", "src/lost.py", None, "h1", 1), ("d", "src/alone.py", None, "h9", 1), ("d", "src/big_table.ts", 4_000_000, "h8", 1), ("d", "Cargo.lock", None, "h7", 1), ("e", "src/vast.rs", -1, "hv", 1),
         ("d", "build/hand.py", None, "h6", 1), ("d", "docs/vendor/lib/readme.md", None, "h5", 1), ("d", "a.min.js", None, "h4", 1), ("d", "src/empty.py", 0, "he", 1), ("e", "src/empty2.py", 0, "he", 1), (None, "src/n.py", None, None, 1),
     ]
-    texts = [("a", "third_party/lib/x.py", text(lib)), ("b", "src/x.py", text(edited)), ("c", "src/renamed.py", text(lib).replace("\n", "\r\n")), ("a", "src/own.py", text(own)), ("d", "build/hand.py", text(code(5))), ("d", "src/empty.py", ""), (None, "src/n.py", text(code(9)))]
+    texts = [("a", "third_party/lib/x.py", text(lib)), ("b", "src/x.py", text(edited)), ("c", "src/renamed.py", text(lib).replace("\n", "\r\n")), ("a", "src/own.py", text(own)), ("d", "build/hand.py", text(code(5))), ("d", "src/empty.py", ""), (None, "src/n.py", text(code(9))), ("e", "src/vast.rs", None, "skipped", "2025-01-01 00:00:00", "oversized")]
     assert run(spark, reads, files, texts) == {
-        ("a", "third_party/lib/x.py"): "vendored", ("b", "src/x.py"): "vendored", ("c", "src/renamed.py"): "vendored", ("d", "src/lost.py"): "vendored", ("d", "src/big_table.ts"): "data", ("d", "Cargo.lock"): "lock", ("d", "a.min.js"): "minified",
+        ("a", "third_party/lib/x.py"): "vendored", ("b", "src/x.py"): "vendored", ("c", "src/renamed.py"): "vendored", ("d", "src/lost.py"): "vendored", ("d", "src/big_table.ts"): "data", ("d", "Cargo.lock"): "lock", ("e", "src/vast.rs"): "data", ("d", "a.min.js"): "minified",
     }
 
 
@@ -68,7 +68,7 @@ def test_containment_against_brute_force(spark):
     want = set()
     for r, ls in rows:
         a = set(ls)
-        if len(a) >= V.LEAST and any(q != r and len(o) >= V.LEAST and len(a & set(o)) >= max(V.LEAST, -(-V.SHARE * len(a) // 1)) for q, o in rows):
+        if len(a) >= V.LEAST and any(q != r and (a == set(o) or len(o) >= V.LEAST and len(a & set(o)) >= max(V.SHARED, -(-V.SHARE * len(a) // 1))) for q, o in rows):
             want.add(tuple(ls))
     for first in (32, 1):
         got = {r.cls for r in V.copied_classes(df, first=first).collect()}
