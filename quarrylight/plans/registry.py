@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import code, dealt, ranking
+from . import code, dealt, packs, ranking
 
-MODULES = (ranking, code, dealt)
+MODULES = (ranking, code, packs, dealt)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,3 +96,24 @@ def test_cosine_against_brute_force(spark):
         s = u @ u[q]
         s[q] = -9
         assert [r["item"] for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == np.argsort(-s)[:5].tolist()
+
+
+def test_snippets_and_memory(spark):
+    from quarrylight.operators import packs
+
+    t = spark.createDataFrame([("s", "r", "a", ["beta"]), ("s", "r", "b", ["none"])], "search_id string, repo_id string, path string, terms array<string>")
+    x = spark.createDataFrame([("r", "a", "\n".join(["l"] * 9 + ["has Beta here"] + ["l"] * 9)), ("r", "b", "only")], "repo_id string, path string, content string")
+    got = {r.path: (r.start_line, r.end_line, r.total_lines) for r in packs.snippets(t, x, "terms", 8).collect()}
+    assert got == {"a": (5, 12, 19), "b": (1, 1, 1)}
+    tasks = spark.createDataFrame([("s", "r", ["x", "y"])], "search_id string, repo_id string, terms array<string>")
+    cards = spark.createDataFrame([(i, "r", ["x"] * (i + 1) + (["y"] if i == 2 else []), 0.5) for i in range(6)] + [(9, "q", ["x"], 1.0)], "card_id int, repo_id string, terms array<string>, confidence double")
+    assert [(r.card_id, r.overlap) for r in packs.memory_matches(tasks, cards).orderBy("rank").collect()] == [(2, 2), (0, 1), (1, 1)]
+
+
+def test_facets(spark):
+    from quarrylight.operators import packs
+
+    df = spark.createDataFrame([("Commit abcdef12 broke requireSession in src/a.py:\nError: bad_name", ), (None,)], "t string")
+    rows = [r.f for r in df.select(packs.facets_of(F.col("t")).alias("f")).collect()]
+    assert (rows[0].paths, rows[0].symbols, rows[0].errors, rows[0].commits) == (["src/a.py"], ["requireSession", "bad_name"], ["Error: bad_name"], ["abcdef12"])
+    assert rows[1].paths == [] and rows[1].commits == []
