@@ -67,12 +67,13 @@ PLAIN = re.compile(r"[^\s\"'`,;{}()\[\]<>|&]+|<[^>\n]*>|\[[^\]\n]*\]|\$\{[^}\n]*
 STAND_IN = re.compile(
     r"(?:[xX]{3,}|\*+|\.+|-+|_+|#+|0+|1+|(?:1234567890?|123456|abc123|password1?|passw0rd|hunter2|letmein|secret|token|test|testing|guest|default|unset|unused|string|value|todo|tbd|fixme|null|none|nil|undefined|true|false|redacted|masked|removed|hidden|omitted|empty|optional|required|basic|bearer)"
     r"|change[-_ ]?(?:me|this|it).*|set[-_ ]?me.*|fill[-_ ]?me.*|dummy.*|fake.*|mock.*|sample.*|(?:an?[-_ ])?example.*|.*[-_ ]example|.*EXAMPLE.*|your[-_ ].*|.*[-_ ]your[-_ ].*|my[-_ ](?:secret|password|token|key).*|replace.*|insert[-_ ].*|enter[-_ ].*|put[-_ ].*|place[-_ ]?holder.*|<.*>|\[.*\]|\{\{?.*\}\}?|\(.*\)"
-    r"|%\(?\w+\)?s?%?|\$\(.*\)|\$\w+|@\w+@|#\{.*\}|__\w+__|env[:.(!].*|process\.env.*|os\.(?:environ|getenv).*|system\.getenv.*|(?:vault|ref|ssm|arn|file|secretsmanager|op|sops|kms|gcp|aws)[:+].*|.*(?:\$\{|\{\{).*|.*(?:x{6,}|X{6,}|\*{4,}).*|.*(?:redacted|masked|placeholder|changeme).*)",
+    r"|%\w+%|%\(\w+\)s|%[sdv]|\$\(.*\)|\$(?-i:[A-Z][A-Z0-9_]*|[a-z_][a-z0-9_]*)|@(?-i:[A-Z_]+)@|#\{.*\}|__\w+__|env[:.(!].*|process\.env.*|os\.(?:environ|getenv).*|system\.getenv.*|(?:vault|ref|ssm|arn|file|secretsmanager|op|sops|kms|gcp|aws)[:+].*|.*(?:\$\{|\{\{).*|.*(?:x{6,}|X{6,}|\*{4,}).*|.*(?:redacted|masked|placeholder|changeme).*)",
     re.IGNORECASE | re.DOTALL,
 )
 WORDS = re.compile(r"[A-Za-z]*[a-z]+(?:[._\- /:][A-Za-z]*[a-z]+)*")
 PLAIN_WORD = re.compile(r"[A-Z]?[a-z]+(?:[A-Z][a-z]{2,})*(?:[._\- /:][A-Z]?[a-z]+(?:[A-Z][a-z]{2,})*)*|[A-Z]+(?:[_\- ][A-Z]+)*")
 NAME_LIKE = re.compile(r"[A-Za-z]+(?:[_.\-][A-Za-z]+)*[_.\-]?v?\d{1,2}|[a-z]+(?:[_.\-][a-z]+)+\d{0,2}|[A-Z]+(?:_[A-Z0-9]+)+")
+CHUNK_OF_NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 PATH = re.compile(r"\.{0,2}/[a-z0-9_.\-]+(?:/[a-z0-9_.\-]+)*/?|[a-z]+://[^:@]*|[\w./-]+\.(?:pem|key|json|ya?ml|txt|crt|env|py|js|ts|go|rs|java)")
 
 
@@ -92,6 +93,13 @@ def decoded(value: str) -> str | None:
     return text if text.isprintable() else None
 
 
+def natural(value: str) -> bool:
+    """Whether the letters of a value read as words: pieces between case changes are long, not endless, and no capital stands with one letter."""
+    chunks = CHUNK_OF_NAME.findall(value)
+    short = any(len(c) < 3 and not c.islower() for c in chunks)
+    return bool(chunks) and not short and sum(map(len, chunks)) >= 4 * len(chunks) and max(map(len, chunks)) <= 15
+
+
 def secret_like(value: str) -> bool:
     """Whether a literal under a credential's name can be the credential itself."""
     v = value.strip()
@@ -100,8 +108,8 @@ def secret_like(value: str) -> bool:
     if (d := decoded(v)) and stand_in(d):
         return False
     if not any(c.isdigit() for c in v):
-        return not PLAIN_WORD.fullmatch(v) and (any(c.isupper() for c in v) or bool(re.search(r"[^\w.\- /:]", v)))
-    return not NAME_LIKE.fullmatch(v) and not re.fullmatch(r"v?\d+(?:[.:,]\d+)+", v) and not re.fullmatch(r"\d{1,5}(?:ms|s|m|h|d|kb|mb|gb)?", v, re.IGNORECASE)
+        return not (PLAIN_WORD.fullmatch(v) and natural(v)) and (any(c.isupper() for c in v) or bool(re.search(r"[^\w.\- /:]", v)))
+    return not (NAME_LIKE.fullmatch(v) and natural(v)) and not re.fullmatch(r"v?\d+(?:[.:,]\d+)+", v) and not re.fullmatch(r"\d{1,5}(?:ms|s|m|h|d|kb|mb|gb)?", v, re.IGNORECASE)
 
 
 def name_words(name: str) -> list[str]:
