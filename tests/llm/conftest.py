@@ -1,9 +1,5 @@
-import os
-
 import pytest
 
-ODD = "id bigint, text string, rank int, _salt int, words string"
-
 
 @pytest.fixture
 def reads(spark):
@@ -21,6 +17,3 @@ def reads(spark):
 
     return build
 
-
-DATA = "/root/testdata/sf0.001"
-HAS_DATA = os.path.isdir(DATA)

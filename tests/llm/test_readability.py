@@ -5,7 +5,7 @@ import pytest
 
 from quarrylight.llm import readability as R
 
-from conftest import DATA, HAS_DATA
+DATA = "/root/testdata/sf0.001"
 
 EASY = "The dog sees the cat. The cat sees the box. The box has a key. " * 12
 HARD = "The idiosyncratic instrumentation of every probabilistic quantization necessitates, notwithstanding the heterogeneous admissibility of its canonicalization, a commutative reconciliation of the monotonicity that the asymptotic approximation circumscribes. " * 6
@@ -59,7 +59,7 @@ def test_joined_vocabulary_gives_the_same(spark):
     assert len(a) == 3
 
 
-@pytest.mark.skipif(not HAS_DATA, reason="no test tables")
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_held_out_agreement(spark):
     sf = os.path.join(os.path.dirname(DATA), "sf0.01")
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/level_labels.parquet")
