@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import code, dealt, packs, ranking
+from . import code, dealt, packs, quality, ranking
 
-MODULES = (ranking, code, packs, dealt)
+MODULES = (ranking, code, packs, quality, dealt)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
