@@ -47,6 +47,7 @@ MARK = re.compile(r"^\s*(?:(?:[-*+>•]|\d+[.)]|//+|#(?=\s+[a-z])|\|(?!.*\|))\s+
 CODE = re.compile(
     r"[{;}\])]\s*$(?<!\)\.)|^\s*[}\])@]|:=|=>|->|==|!=|&&|\|\||\w\(.*\)\s*[:{;]?\s*$|[\w\])]\s[-+*/]?=\s|^\s*(?:def|class|func|fn|pub|import|from|return|package|use|private|public|static|switch|case|const|let|var|async|export|function|raise|except|elif|match|impl|struct|enum|interface|type)\b.*[(){}:;=<>'\"`]"
 )
+ANY_SIGN = re.compile(r"[{}()\[\];:=<>!&|@\"'`_\\$%^*+~-]")
 SIGNS = re.compile(r"[{}()\[\];=<>_\\|@$%^&*+~]")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 END = re.compile(r"[.!?…]+(?=[\s\"'”»)]|$)|:(?=\s+[A-ZÀ-ÝÄÖÜ])|\n\n+")
@@ -70,12 +71,19 @@ def prose(text: str) -> str:
             continue
         bare = MARK.sub("", line)
         started = bare != line and not line.lstrip().startswith((">", "//", "#", "|", "* "))
-        bare = LINK.sub(" ", TAGS.sub(" ", SPAN.sub(" ", bare))).strip()
+        if "`" in bare:
+            bare = SPAN.sub(" ", bare)
+        if "<" in bare or "&" in bare:
+            bare = TAGS.sub(" ", bare)
+        if "/" in bare or "](" in bare:
+            bare = LINK.sub(" ", bare)
+        bare = bare.strip()
         if code and line[:2] in ("  ", "\t") or (code and line[:1] == "\t") or bare[:3] in ('"""', "'''"):
             out.append("")  # what is set in after code belongs to it, as docstrings and comments do
             continue
-        code = bool(CODE.search(bare))
-        if code or len(SIGNS.findall(bare)) > 0.06 * len(bare) + 1 or not WORD.search(bare):
+        signed = bool(ANY_SIGN.search(bare))  # no sign, no code: most prose lines need no more than this
+        code = signed and bool(CODE.search(bare))
+        if code or (signed and len(SIGNS.findall(bare)) > 0.06 * len(bare) + 1) or not WORD.search(bare):
             out.append("")
             continue
         if started or re.match(r"<(?:p|li|h\d|div|tr)\b", s):
