@@ -3,7 +3,7 @@
 Three sources of evidence, the first found names the kind:
 
 * the path: lock files, folders of installed packages, names of minified and of generated files;
-* the text's tokens: statements of generation or of origin in the head's comments, lines of one shape repeated, white
+* the text's tokens: statements of generation or of origin in comments anywhere in the text, lines of one shape repeated, white
   space and name length of minified text, share of numbers and of long literals in data; a file that was too large to
   be read is data;
 * other files: an inverted index of line hashes gives the exact share of a file's lines that one file of another
@@ -49,21 +49,62 @@ GENERATED_HEAD = re.compile(
     re.IGNORECASE,
 )
 GENERATED_NOT = re.compile(r"header of generated|generated files \(|\bnot generated\b|is added below", re.IGNORECASE)
+#: Statements that speak of a whole file wherever they stand.
+GENERATED_FILE = re.compile(
+    r"code generated (?:by|from)\b|^@generated\b|^<auto-?generated\b|^auto-?\s?generated (?:file\b|code\b|by\b|from\b|on build\b)|^generated (?:by|from|with|using)\b.{1,80}(?:compiler|generator|do not (?:edit|modify)|source:)"
+    r"|^this (?:file|module|source)\b.{0,40}\b(?:generated|produced automatically|created automatically|machine.made)|^machine.(?:made|generated) (?:by|from)\b",
+    re.IGNORECASE,
+)
 VENDORED_HEAD = re.compile(r"\b(?:vendored|copied|taken|imported|forked)(?: \w+)? from\b.*\d|third.party code|^origin:.*\b(?:release|version|v?\d+\.\d+)|see upstream for", re.IGNORECASE)
+#: Of these every statement of origin holds one; a text without it has none.
+TOLD = ("generated", "machine", " automatically", "do not edit", "do not modify", "changes are", "changes will be", "edits are", "edits will be", "edit the source", "vendored", "copied", "taken", "imported", "forked", "third", "origin:", "upstream")
+#: Lines that stand before the code proper.
+PROLOGUE = re.compile(r"#!|[\"']use \w+[\"'];?$|<\?php|(?:package|import|from|use|using|namespace|mod|extern crate|require|#include|#pragma|#ifndef|#define|#!?\[)\b|[()]$|\"[\w./-]+\"$")
+OPENED_RAW = re.compile(r'\br#"(?!.*"#)')
 NAME, LONG, DIGITS = re.compile(r"[A-Za-z_]\w*"), re.compile(r"[A-Za-z0-9+/=]{60,}"), re.compile(r"\d+")
 ARMORED = re.compile(r"-----BEGIN [A-Z ]+-----")
 
 
-def head_kind(lines: list[str]) -> str | None:
-    """What the comments of a text's first lines say of its origin."""
-    for line in lines[:12]:
-        m = COMMENT.match(line)
-        if not m:
-            continue
-        said = m.group(1)
-        if GENERATED_HEAD.search(said) and not GENERATED_NOT.search(said):
+def remarks(lines: list[str]) -> Iterator[tuple[int, str]]:
+    """Place and wording of every comment line, block comments and leading strings included, but none inside of literals."""
+    closing, comment = "", False
+    for i, line in enumerate(lines):
+        if closing:
+            if comment:
+                yield i, line.split(closing)[0].lstrip("*! \t").strip()
+            if line.count(closing) % 2:
+                closing = ""
+        elif line.startswith("/*") and "*/" not in line:
+            closing, comment = "*/", True
+            yield i, line.lstrip("/*! \t")
+        elif (mark := line[:3]) in ('"""', "'''") and line.count(mark) == 1:
+            closing, comment = mark, True
+            yield i, line[3:].strip()
+        elif m := COMMENT.match(line):
+            yield i, m.group(1)
+        else:
+            closing = '"#' if OPENED_RAW.search(line) else next((q for q in ('"""', "'''", "`") if line.count(q) % 2), "")
+            comment = False
+
+
+def comment_kind(lines: list[str]) -> str | None:
+    """What the comments of a text say of its origin.
+
+    Above the code and below it they speak of the file, whatever their wording; between code only statements that name
+    the file or its generator do, since others ("do not modify", "copied from") are about the lines beside them.
+    """
+    said = dict(remarks(lines))
+    head = next((i for i, x in enumerate(lines) if i not in said and not PROLOGUE.match(x)), len(lines))
+    tail = len(lines)
+    # comment lines at the end stand in no literal: that would have to be closed behind them
+    while tail > head and (m := COMMENT.match(lines[tail - 1])):
+        tail -= 1
+        said[tail] = m.group(1)
+    for i in sorted(said):
+        text, outer = said[i], i < head or i >= tail
+        if (GENERATED_HEAD if outer else GENERATED_FILE).search(text) and not GENERATED_NOT.search(text):
             return "generated"
-        if VENDORED_HEAD.search(said) and not said.lower().startswith("never "):
+        if outer and VENDORED_HEAD.search(text) and not text.lower().startswith("never "):
             return "vendored"
     return None
 
@@ -74,7 +115,8 @@ def text_kind(text: str) -> str | None:
     lines = [s for x in text.split("\n") if (s := x.strip())]
     if not lines:
         return None
-    if said := head_kind(lines):
+    low = text.lower()
+    if any(w in low for w in TOLD) and (said := comment_kind(lines)):
         return said
     n = len(text)
     space = sum(map(text.count, " \n\t\r")) / n

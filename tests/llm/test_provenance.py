@@ -28,6 +28,22 @@ def test_text_kinds():
     assert V.text_kind("") is None and V.text_kind("\n \n") is None
 
 
+def test_statements_of_origin_anywhere():
+    body = text(code(1))
+    head = "".join(f"// licence line {i}\n" for i in range(20))
+    for said in ("// Code generated by protoweave v1. DO NOT EDIT.", "// @generated by schemaloom from a.schema", "// <auto-generated> tool: x </auto-generated>", "// This file was produced automatically by x; manual changes are lost.", "# Machine-made from api/rule.yaml; edit the source, then rebuild", "// Generated by the patch compiler. Source: patch.idl"):
+        assert V.text_kind(body + said + "\n") == "generated", said
+        assert V.text_kind(body + said + "\n" + body) == "generated", said
+        assert V.text_kind(head + said + "\n" + body) == "generated", said
+    assert V.text_kind(body + "// do not edit\n") == "generated"
+    assert V.text_kind("/*\n" + "licence\n" * 15 + "Code generated by x. DO NOT EDIT.\n*/\n" + body) == "generated"
+    assert V.text_kind(head + "// Vendored from foolib 1.2.3; see upstream for changes\n" + body) == "vendored"
+    assert V.text_kind(body + "// Vendored from foolib 1.2.3\n") == "vendored"
+    # a remark on the lines beside it, and a statement inside a literal, say nothing of the file
+    for other in ("// do not modify!", "// auto-generated ids stay", "// copied from foolib 1.2.3", "s = `\n// Code generated by us. DO NOT EDIT.\n`", 'T = """\n# Code generated by us. DO NOT EDIT.\n"""', "// the header of generated files (@generated) is added below"):
+        assert V.text_kind(body + other + "\n" + text(code(2))) is None, other
+
+
 def files_of(spark, rows):
     full = [(r, p, s, h, f"2025-01-0{d} 00:00:00", True) for r, p, s, h, d in rows]
     return spark.createDataFrame(full, "repo_id string, path string, size_bytes bigint, hash string, at string, code boolean").selectExpr("repo_id", "path", "size_bytes", "hash", "cast(at as timestamp_ntz) as scanned_at", "code as cls")
