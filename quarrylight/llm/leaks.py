@@ -148,29 +148,29 @@ class Items:
 
 
 def chains(hits: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-    """Chains of hits (place in the item, in the document), longest first: in order, near one diagonal."""
-    out, left = [], sorted(hits)
-    while left:
-        best, back = [1] * len(left), [-1] * len(left)
-        for j, (q, p) in enumerate(left):
-            for i in range(j - 1, -1, -1):
-                a, b = left[i]
-                if q - a > GAP:
-                    break
-                if a < q and b < p <= b + GAP + DRIFT and abs((p - q) - (b - a)) <= DRIFT and best[i] + 1 > best[j]:
-                    best[j], back[j] = best[i] + 1, i
-        j = max(range(len(left)), key=lambda x: best[x])
+    """Chains of hits (place in the item, in the document), longest first: in order, near one diagonal.
+
+    Every hit lies in one chain: a chain takes its own hits only, so that repeated and crossing copies each have theirs.
+    """
+    hits = sorted(set(hits), key=lambda h: (h[1], h[0]))
+    best, back = [1] * len(hits), [-1] * len(hits)
+    for j, (q, p) in enumerate(hits):
+        for i in range(j - 1, -1, -1):
+            a, b = hits[i]
+            if p - b > GAP + DRIFT:
+                break
+            if a < q <= a + GAP and b < p and abs((p - q) - (b - a)) <= DRIFT and best[i] + 1 > best[j]:
+                best[j], back[j] = best[i] + 1, i
+    out, taken = [], [False] * len(hits)
+    for j in sorted(range(len(hits)), key=lambda x: (-best[x], hits[x])):
         chain = []
-        while j >= 0:
-            chain.append(left[j])
+        while j >= 0 and not taken[j]:
+            taken[j] = True
+            chain.append(hits[j])
             j = back[j]
-        chain.reverse()
-        out.append(chain)
-        if len(out) == 4:
-            break
-        (qa, pa_), (qb, pb) = chain[0], chain[-1]
-        left = [(q, p) for q, p in left if not (qa <= q <= qb or pa_ <= p <= pb)]
-    return out
+        if chain:
+            out.append(chain[::-1])
+    return sorted(out, key=lambda c: (-len(c), c))
 
 
 def extended(item: list[int], doc: list[int], q: int, p: int, step: int) -> tuple[int, int]:
@@ -208,12 +208,20 @@ def passages(item: list[int], doc: list[int], hits: list[tuple[int, int]]) -> li
 
 
 def held(found: list[tuple[int, int, int, int, int]]) -> int:
-    """The most words that one passage, or two in order, keep."""
+    """The most words that one passage, or two in order, keep.
+
+    One sweep over the document: the best passage that ended before, by its end in the item.
+    """
     best = max((f[0] for f in found), default=0)
-    for a in found:
-        for b in found:
-            if a[2] < b[1] and a[4] < b[3]:
-                best = max(best, a[0] + b[0])
+    ended = sorted(found, key=lambda f: f[4])
+    by: dict[int, int] = {}
+    n = 0
+    for b in sorted(found, key=lambda f: f[3]):
+        while n < len(ended) and ended[n][4] < b[3]:
+            a = ended[n]
+            by[a[2]] = max(by.get(a[2], 0), a[0])
+            n += 1
+        best = max(best, b[0] + max((k for q, k in by.items() if q < b[1]), default=0))
     return best
 
 

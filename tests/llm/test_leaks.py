@@ -54,6 +54,35 @@ def test_forms_and_decoys(spark):
     assert got == {(n, i) for n in docs for i in (100, 111)}
 
 
+def kept(item, doc):
+    got = {i: k for _, i, k in L.matches(L.Items({1: " ".join(item)}), [" ".join(doc)])}
+    return got.get(1, 0)
+
+
+def test_repeated_and_crossing_copies():
+    w = [f"own{a}{b}" for a in VOCAB[:9] for b in VOCAB[:9]]
+    gap = lambda s: passage(700 + s, 40)
+    assert kept(w, w[0:13] + gap(1) + w[30:43] + gap(2) + w[0:15]) >= 26
+    # four longer pieces in reverse order, a shorter fifth in front of one of them
+    doc = w[3:13] + gap(1) + w[60:75] + gap(2) + w[45:60] + gap(3) + w[30:45] + gap(4) + w[15:30]
+    assert kept(w, doc) >= 25
+    assert kept(w, w[60:75] + gap(2) + w[45:60] + gap(3) + w[30:45] + gap(4) + w[15:30]) == 0
+    # many copies are all looked at, each once
+    many = [x for s in range(300) for x in [*w[0:13], *gap(s)]]
+    assert kept(w, w[30:43] + many) == 0 and kept(w, many + w[30:43]) >= 26
+
+
+def test_best_pair_against_brute_force():
+    rnd = random.Random(3)
+    for _ in range(300):
+        found = []
+        for _ in range(rnd.randint(0, 12)):
+            q, p, n = rnd.randint(0, 40), rnd.randint(0, 60), rnd.randint(1, 15)
+            found.append((n, q, q + n - 1, p, p + n - 1))
+        pairs = [a[0] + b[0] for a in found for b in found if a[2] < b[1] and a[4] < b[3]]
+        assert L.held(found) == max([f[0] for f in found] + pairs, default=0)
+
+
 def test_blocks_give_the_same(spark, monkeypatch):
     items = [passage(s, 50) for s in range(7)]
     d, e = frames(spark, [" ".join(w[5:45]) for w in items], [" ".join(w) for w in items])
