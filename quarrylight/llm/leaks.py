@@ -4,8 +4,9 @@ Method: an item's own wording (without an instruction that several items share)
 ``PIECE`` words. A passage of ``WORDS`` words holds ``WORDS // PIECE`` of them, so with fewer edits than that, the error
 budget, one piece at least is whole: pigeonhole. Exact piece hits are found for a whole batch of documents at once in a
 sorted table of piece codes; hits of one item that lie in order on near diagonals are chained; a chain is extended over
-small edits and verified with Myers' bit-parallel distance between the item's and the document's words. A document
-holds an item if its one or two best passages, in order, keep enough words.
+small edits and verified with Myers' bit-parallel distance between the item's and the document's words. One hit is
+enough for that. A document holds an item if its one or two best passages, in order and of any length, keep ``KEPT``
+words; if they fall short, runs of equal words that hold no whole piece of the item are looked for too.
 
 Words are compared after compatibility decomposition, without marks and invisible characters, in lower case, letters of
 other scripts that look Latin read as Latin, markup tags and entities dropped.
@@ -33,8 +34,12 @@ from pyspark.sql import functions as F
 from ..session import map_arrow
 
 WORDS, PIECE, BLOCK = 25, 3, 20_000
-#: Least hits of an item in a document before it is verified, least words of one passage, and words that both keep.
-HITS, PASSAGE, KEPT = 2, 7, 22
+#: Words that one or two passages of any length keep: ``WORDS`` less three edited ones.
+KEPT = 22
+#: From so many words on a run of equal words is looked for without a hit: a piece of ``2 * PIECE - 1`` words always has one.
+RUN = 2 * PIECE - 2
+#: The longest step of an extension over edits.
+STEP = 8
 #: Share of a passage's words that edits may touch.
 EDITS = 0.4
 #: The largest gap between chained hits, and how far they may leave their diagonal.
@@ -176,7 +181,7 @@ def chains(hits: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
 def extended(item: list[int], doc: list[int], q: int, p: int, step: int) -> tuple[int, int]:
     """The furthest places that small edits lead to from a match, forward or back."""
     while True:
-        for d in range(1, 9):
+        for d in range(1, STEP + 1):
             hit = None
             for a in range(1, d + 1):
                 b = d + 1 - a
@@ -202,8 +207,27 @@ def passages(item: list[int], doc: list[int], hits: list[tuple[int, int]]) -> li
         n, m = qb - qa + 1, pb - pa_ + 1
         edits = myers(item[qa : qb + 1], doc[pa_ : pb + 1])
         kept = n - max(0, edits - max(0, m - n))
-        if n >= PASSAGE and edits <= EDITS * max(n, m):
+        if edits <= EDITS * max(n, m):
             out.append((kept, qa, qb, pa_, pb))
+        else:
+            out += [(PIECE, q, q + PIECE - 1, p, p + PIECE - 1) for q, p in chain]
+    return out
+
+
+def runs(item: list[int], doc: list[int], least: int = RUN) -> list[tuple[int, int, int, int, int]]:
+    """All longest runs of ``least`` or more equal words, as passages."""
+    at: dict[tuple[int, ...], list[int]] = {}
+    for q in range(len(item) - least + 1):
+        at.setdefault(tuple(item[q : q + least]), []).append(q)
+    out = []
+    for p, gram in enumerate(zip(*(doc[j:] for j in range(least)))):
+        for q in at.get(gram, ()):
+            if q and p and item[q - 1] == doc[p - 1]:
+                continue
+            n = least
+            while q + n < len(item) and p + n < len(doc) and item[q + n] == doc[p + n]:
+                n += 1
+            out.append((n, q, q + n - 1, p, p + n - 1))
     return out
 
 
@@ -235,14 +259,47 @@ def matches(items: Items, texts: list[str | None], least: int = KEPT) -> Iterato
     pair, q, p = pair[order], q[order], p[order]
     start = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))) if len(pair) else np.zeros(0, dtype=np.int64)
     end = np.concatenate((start[1:], [len(pair)]))
-    for s, e in zip(start[end - start >= HITS], end[end - start >= HITS]):
+    alone = end - start == 1
+    vain = np.zeros(len(start), dtype=bool)
+    vain[alone] = ~grows(items, docs, pair[start[alone]] // max(1, len(items.ids)), pair[start[alone]] % max(1, len(items.ids)), q[start[alone]], p[start[alone]])
+    # of two pieces the longer one keeps half of the words
+    half = (least + 1) // 2
+    if half <= PIECE:
+        vain[:] = False
+    for s, e in zip(start[~vain], end[~vain]):
         row, n = divmod(int(pair[s]), len(items.ids))
         found = passages(items.own[n], docs[row], list(zip(q[s:e].tolist(), p[s:e].tolist())))
         kept = held(found)
+        if kept < least and max(f[0] for f in found) >= half - 1:
+            # pieces without a hit, and pieces that an extension ran into
+            kept = held(found + runs(items.own[n], docs[row]))
         if kept >= least:
             yield row, items.ids[n], kept
 
 
+def grows(items: Items, docs: list[list[int]], d: np.ndarray, i: np.ndarray, q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Whether ``extended`` leads anywhere from each hit, forward or back."""
+
+    def flat(rows: list[list[int]], fill: int) -> tuple[np.ndarray, np.ndarray]:
+        pad = [fill] * (STEP + 2)
+        begin = np.cumsum([len(pad)] + [len(r) + len(pad) for r in rows])[:-1]
+        return np.fromiter((w for r in rows for w in (*pad, *r)), dtype=np.int64, count=sum(map(len, rows)) + len(pad) * len(rows)), begin
+
+    out = np.zeros(len(q), dtype=bool)
+    if not len(q):
+        return out
+    (a, at), (b, bt) = flat([*items.own, []], -2), flat([*docs, []], -1)
+    for step, x, y in ((-1, at[i] + q, bt[d] + p), (1, at[i] + q + PIECE - 1, bt[d] + p + PIECE - 1)):
+        for n in range(1, STEP + 1):
+            for j in range(1, n + 1):
+                k = n + 1 - j
+                same = a[x + step * j] == b[y + step * k]
+                if n > 1:
+                    same &= a[x + step * (j + 1)] == b[y + step * (k + 1)]
+                out |= same
+    return out
+
+
 def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = KEPT) -> DataFrame:
     """doc_id, item_id and words kept of every document that holds an item's passage."""
     spark = docs.sparkSession

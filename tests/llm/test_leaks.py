@@ -72,6 +72,23 @@ def test_repeated_and_crossing_copies():
     assert kept(w, w[30:43] + many) == 0 and kept(w, many + w[30:43]) >= 26
 
 
+def test_short_pieces_and_single_hits():
+    w = [f"own{a}{b}" for a in VOCAB[:9] for b in VOCAB[:9]]
+    noise = passage(800, 40)
+    for first in (19, 20, 21):
+        for at in range(6):
+            two = w[at : at + first] + noise + w[at + 40 : at + 65 - first]
+            assert kept(w, two) == 25, (first, at)
+            assert kept(w, w[at : at + 25 - first] + noise + w[at + 40 : at + 40 + first]) == 25, (first, at)
+            assert kept(w, w[at + 40 : at + 65 - first] + noise + w[at : at + first]) == 0, (first, at)
+    # 25 words in order, seven words inserted among them: one whole piece of the item is left
+    cut = [2, 5, 8, 11, 14, 17, 20]
+    doc = [x for n, y in enumerate(w[:25]) for x in ((y, f"in{n}") if n - 1 in cut else (y,))]
+    assert len(L.Items({1: " ".join(w)}).hits([[L.Items({1: " ".join(w)}).code.get(x, -1) for x in doc]])[0]) == 1
+    assert kept(w, doc) == 25
+    assert kept(w, noise + w[30:40] + noise) == 0
+
+
 def test_best_pair_against_brute_force():
     rnd = random.Random(3)
     for _ in range(300):
