@@ -37,7 +37,11 @@ TOKENS = {
 }
 ARMOR = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 ARMOR_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-ARMOR_BODY = re.compile(r"(?:[A-Za-z0-9+/=\s:,.\"'`;]|\\[nrt\\]|-(?!-{4}))*")
+#: Comment leaders and quote marks at the beginning of an armored line, after a line break or an escaped one.
+LEADER = r"(?:\r?\n|\\n)[ \t]*(?:#+|//+|/?\*+(?!/)|--(?!-)|;+|%+|!+|>+)(?:[ \t]*[#*>]+)*"
+LED_LINE = re.compile(LEADER + r"((?:(?!\\n)[^\n])*)")
+ARMOR_BODY = re.compile(r"(?:" + LEADER + r"|[A-Za-z0-9+/=\s:,.\"'`;]|\\[nrt\\]|\\(?=\r?\n)|-(?!-{4}))*")
+ARMOR_RUN = re.compile(r"[A-Za-z0-9+/]{16,}")
 URL = re.compile(r"://[^\s/:@\"'`<>]*:([^\s/@\"'`]+)@[\w\[${<]")
 BASIC = re.compile(r"basic[ \t]+([A-Za-z0-9+/_-]{8,}={0,2})", re.IGNORECASE)
 BEARER = re.compile(r"bearer[ \t]+([A-Za-z0-9._~+/-]{8,}=*)", re.IGNORECASE)
@@ -112,6 +116,12 @@ def secret_like(value: str) -> bool:
     return not (NAME_LIKE.fullmatch(v) and natural(v)) and not re.fullmatch(r"v?\d+(?:[.:,]\d+)+", v) and not re.fullmatch(r"\d{1,5}(?:ms|s|m|h|d|kb|mb|gb)?", v, re.IGNORECASE)
 
 
+def armored(body: str) -> int:
+    """Base64 characters of an armored body; of commented lines only those in long runs, since the rest can be prose."""
+    led = sum(len(run) for line in LED_LINE.findall(body) for run in ARMOR_RUN.findall(line))
+    return led + len(re.findall(r"[A-Za-z0-9+/]", re.sub(r"\\[nrt]", "", LED_LINE.sub("", body))))
+
+
 def name_words(name: str) -> list[str]:
     return [w.lower() for w in WORD.findall(name)]
 
@@ -246,9 +256,13 @@ def found(text: str | None, code: bool = False) -> list[tuple[str, list[tuple[in
             m = next((x for x in [ARMOR.search(text, max(0, start - 40), start + 30)] if x and x.start() <= start), None)
             if m:
                 body = ARMOR_BODY.match(text, m.end())
-                if len(re.findall(r"[A-Za-z0-9+/]", re.sub(r"\\[nrt]", "", body.group()))) >= 40:
+                if armored(body.group()) >= 40:
                     end = ARMOR_END.match(text, body.end())
-                    add("private_key", [(m.start(), end.end() if end else body.end())])
+                    last = body.end()
+                    if not end and LED_LINE.search(body.group()):
+                        # comments that follow a block without an end are none of it
+                        last = max((x.end() for x in ARMOR_RUN.finditer(text, m.end(), body.end())), default=last)
+                    add("private_key", [(m.start(), end.end() if end else last)])
         elif kind == "url":
             m = URL.match(text, start)
             if m and not stand_in(m.group(1)):

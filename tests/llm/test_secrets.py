@@ -36,6 +36,26 @@ def test_lines_and_pieces():
     assert S.found('K_TOKEN = "abcd1234efgh" + "5678ijklmnop"', True)[0][1] == [(11, 23), (28, 40)]
 
 
+def test_commented_and_continued_keys():
+    for lead in ("# ", "#", "// ", " * ", "-- ", "; ", "  # ", "> ", "% "):
+        text = "x: 1\n" + "".join(lead + line + "\n" for line in KEY.split("\n")) + "y: 2\n"
+        got = S.found(text, False)
+        assert [k for k, _ in got] == ["private_key"], lead
+        assert S.lines_of(text, [got[0][1][0][0]]) == [2]
+        assert S.masked(text, got) == "x: 1\n" + lead + "[REDACTED:private_key]\ny: 2\n", lead
+    joined = 's = "' + KEY.replace("\n", "\\n\\\n") + '"\n'
+    assert S.masked(joined, S.found(joined, True)) == 's = "[REDACTED:private_key]"\n'
+    inner = 's = "# ' + KEY.replace("\n", "\\n# ") + '"\n'
+    assert S.masked(inner, S.found(inner, True)) == 's = "# [REDACTED:private_key]"\n'
+    # a block without an end takes no remark that follows; one without a key is none
+    open_ = "".join("# " + line + "\n" for line in KEY.split("\n")[:2]) + "# the rest is kept elsewhere\nx = 1\n"
+    assert S.masked(open_, S.found(open_, True)) == "# [REDACTED:private_key]\n# the rest is kept elsewhere\nx = 1\n"
+    for lead in ("# ", "// ", " * "):
+        for said in ("paste the key of your own service account here, then save this file and restart", "[REDACTED]"):
+            text = lead + "-----BEGIN PRIVATE KEY-----\n" + lead + said + "\n" + lead + "-----END PRIVATE KEY-----\n"
+            assert not S.found(text, False), text
+
+
 def test_masking_changes_nothing_else():
     for text, code in HELD:
         got = S.found(text, code)
