@@ -99,12 +99,18 @@ def cosine_topk(spark, sf_dir):
 
 
 def semantic_threshold(spark, sf_dir):
-    """Hits of the stated queries at or above 0.08, counted, with the best score."""
+    """Of the 50 best hits of the stated queries those at or above 0.08, counted, with the best score."""
     v = table(spark, sf_dir, "embeddings")
     got = semantic.cosine_top(v, v.filter("vec_id % 100 = 0"), 50).filter("score >= 0.08")
     return got.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.max("score").alias("best"))
 
 
+def semantic_hits(spark, sf_dir):
+    """All hits of the stated queries at or above 0.08, counted, with the best score."""
+    v = table(spark, sf_dir, "embeddings")
+    return semantic.cosine_at_least(v, v.filter("vec_id % 100 = 0"), 0.08)
+
+
 def ranked(spark, sf_dir) -> DataFrame:
     """Order lines as ranked candidates of a query: two rankings, relevance and role."""
     l = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("query"), F.col("l_partkey").cast("string").alias("path")).agg(F.max("l_extendedprice").alias("price"), F.max("l_quantity").alias("qty"), F.max(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("rel"), F.min("l_linestatus").alias("role"))  # noqa: E741
@@ -281,6 +287,7 @@ SQL = {
     "hash_embedding": f"WITH q AS (SELECT search_id, max({T.words_sql('query_text')}) AS ws FROM search_runs GROUP BY 1), t AS (SELECT search_id, unnest(ws) AS t FROM q), b AS (SELECT search_id, ('0x' || substr(md5(t), 1, 8))::BIGINT % 64 AS b, sum(CASE WHEN ('0x' || substr(md5(t), 9, 2))::BIGINT % 2 = 0 THEN 1 ELSE -1 END) AS v FROM t GROUP BY 1, 2), n AS (SELECT search_id, sqrt(sum(v * v)) AS n FROM b GROUP BY 1 HAVING sum(v * v) > 0), g AS (SELECT n.search_id, n.n, i FROM n, range(64) r(i)) SELECT g.search_id, string_agg(round(coalesce(v, 0) / n * 1000)::BIGINT::VARCHAR, ',' ORDER BY i) AS vector FROM g LEFT JOIN b ON b.search_id = g.search_id AND b.b = g.i GROUP BY 1",
     "cosine_topk": EMB_SQL + " SELECT * FROM r WHERE rank <= 10",
     "semantic_threshold": EMB_SQL + " SELECT query_id, count(*) AS hits, max(score) AS best FROM r WHERE rank <= 50 AND score >= 0.08 GROUP BY 1",
+    "semantic_hits": EMB_SQL + " SELECT query_id, count(*) AS hits, max(score) AS best FROM p WHERE score >= 0.08 GROUP BY 1",
     "recall_precision_mrr": METRICS_SQL + " SELECT * FROM m",
     "lift_verdicts": METRICS_SQL + ", b AS (SELECT recall_2 AS b FROM m WHERE variant = 'lexical') SELECT variant, recall_2, round(recall_2 - b, 6) AS lift, CASE WHEN round(recall_2 - b, 6) >= 0.01 THEN 'lift' WHEN round(recall_2 - b, 6) < -0.01 THEN 'regression' ELSE 'neutral' END AS verdict FROM m, b",
     "role_recall": RANKED_SQL + " " + ROLE_RECALL.format(c="rank_cut"),
@@ -302,7 +309,7 @@ SQL = {
 QUERIES = {
     f.__name__: f
     for f in (
-        signal_fusion, context_plan, rerank_metadata, plan_areas, signal_saturation, signal_ablation, protected_evidence, facet_top5, hash_embedding, cosine_topk, semantic_threshold, recall_precision_mrr, lift_verdicts, role_recall, token_return, gap_taxonomy, top_missing, backend_overlap, suite_compare,
+        signal_fusion, context_plan, rerank_metadata, plan_areas, signal_saturation, signal_ablation, protected_evidence, facet_top5, hash_embedding, cosine_topk, semantic_threshold, semantic_hits, recall_precision_mrr, lift_verdicts, role_recall, token_return, gap_taxonomy, top_missing, backend_overlap, suite_compare,
         feedback_summary, outcome_by_budget, policy_quality, learned_weights, policy_gates, lane_rollup, retry_weighted, pack_tokens, event_windows,
     )
 }

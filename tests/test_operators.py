@@ -117,3 +117,17 @@ def test_facets(spark):
     rows = [r.f for r in df.select(packs.facets_of(F.col("t")).alias("f")).collect()]
     assert (rows[0].paths, rows[0].symbols, rows[0].errors, rows[0].commits) == (["src/a.py"], ["requireSession", "bad_name"], ["Error: bad_name"], ["abcdef12"])
     assert rows[1].paths == [] and rows[1].commits == []
+
+
+def test_cosine_hits_are_counted_whole(spark):
+    import random
+
+    rnd = random.Random(5)
+    vectors = {i: [rnd.gauss(0.3, 1) for _ in range(8)] for i in range(300)}
+    vectors[7] = [0.0] * 8
+    df = spark.createDataFrame([*vectors.items(), (900, None)], "vec_id bigint, embedding array<float>").repartition(5)
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / max(1e-12, (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5)
+    want = {q: sum(cos(vectors[q], v) >= 0.08 for i, v in vectors.items() if i != q) for q in (0, 100, 200)}
+    got = {r.query_id: r.hits for r in semantic.cosine_at_least(df, df.filter("vec_id % 100 = 0"), 0.08, block=2).collect()}
+    assert got == want and min(got.values()) > 50
+    assert semantic.cosine_at_least(df.limit(0), df.limit(0), 0.08).count() == 0
