@@ -51,6 +51,27 @@ def symbols(docs: DataFrame, text: str = "content") -> DataFrame:
     return rows.select("repo_id", "path", "language", "f.name", "f.kind", "line_no", F.substring(F.trim("line"), 1, 200).alias("signature"), public.alias("exported")).dropDuplicates(["repo_id", "path", "name", "kind", "line_no"])
 
 
+def references(docs: DataFrame, found: DataFrame, text: str = "content") -> DataFrame:
+    """Edges to the symbols that other files of a repository name: repo_id, source_path, target_path, symbol, kind, confidence.
+
+    found: rows of ``symbols``. The distinct identifiers of a text meet the symbols by equality; whether a name is called
+    (``name(``, ``name::``) is told where the text is read, so that no text is moved. A name with ``$`` counts as a whole
+    run of letters and ``$``. Of symbols of one name in a file the first decides whether it is exported.
+    """
+    name = F.col("name")
+    named = found.filter((F.length(name) >= 3) & (F.col("exported") | (F.length(name) >= 4)))
+    named = named.groupBy("repo_id", F.col("path").alias("target_path"), name.alias("symbol")).agg(F.min_by("exported", F.struct("line_no", "kind")).alias("exported"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    every = lambda p, g: F.array_distinct(F.regexp_extract_all(body, F.lit(p), F.lit(g)))
+    terms = F.array_union(every("([A-Za-z0-9_]+)", 1), every(r"([A-Za-z0-9_$]*\$[A-Za-z0-9_$]*)", 1))
+    rows = docs.select("repo_id", F.col("path").alias("source_path"), terms.alias("terms"), every(r"([A-Za-z0-9_$]+)\(", 1).alias("calls"), every(r"([A-Za-z0-9_$]+)::", 1).alias("scopes"))
+    ends = lambda of: lambda t: F.exists(of, lambda c: F.endswith(c, t))
+    rows = rows.select("repo_id", "source_path", F.explode(F.transform(F.filter("terms", lambda t: F.length(t) >= 3), lambda t: F.struct(t.alias("symbol"), ends("calls")(t).alias("called"), ends("scopes")(t).alias("scoped")))).alias("t"))
+    hit = rows.select("repo_id", "source_path", "t.*").join(named, ["repo_id", "symbol"]).filter("source_path <> target_path")
+    kind = F.when(F.col("called") | F.col("scoped"), "calls").otherwise("references")
+    return hit.select("repo_id", "source_path", "target_path", "symbol", kind.alias("kind"), F.when(F.col("called"), 0.82).when(F.col("exported"), 0.72).otherwise(0.58).alias("confidence"))
+
+
 def imports(docs: DataFrame, text: str = "content") -> DataFrame:
     """Distinct imports: repo_id, source_path, language, raw, confidence (the highest of its lines)."""
     rows = lines(docs, text).filter(F.col("line").rlike(r"import|require|export|\buse\b|\bmod\b"))

@@ -13,6 +13,7 @@ from ..sources.tables import spread, table
 #: One task that search queries ask.
 TASK = "fix the token ledger: resolve session rows in packages/cell-000/src/build/streamGauge.ts and sync-queue of the broker"
 SNAPSHOT = "2025-05-01"
+REFERENCING = ("typescript", "javascript", "python", "rust", "java", "kotlin")
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,6 +169,13 @@ def symbol_search(spark, sf_dir):
     return s.withColumn("score", score).filter("score > 0").orderBy(F.desc("score"), "path", "line_no", "repo_id").limit(20).select("repo_id", "path", "name", "kind", "line_no", "score")
 
 
+def symbol_reference_edges(spark, sf_dir):
+    """Calls and references between safe sources and tests of the languages whose imports resolve."""
+    safe = inventory.safe_files(files(spark, sf_dir), ("source", "test")).filter(F.col("language").isin(*REFERENCING)).select("repo_id", "path")
+    d = docs(spark, sf_dir).join(safe, ["repo_id", "path"], "left_semi")
+    return symbols.references(d, symbols.symbols(d))
+
+
 def import_extract(spark, sf_dir):
     i = symbols.imports(docs(spark, sf_dir))
     return i.groupBy("language", "confidence").agg(F.count(F.lit(1)).alias("imports"), F.countDistinct("raw").alias("names"), F.min("raw").alias("first_raw"))
@@ -345,6 +353,10 @@ SELECT repo_id, revision, path, commit_count, round(least(commit_count / 5.0, 0.
     "two_hop_edges": W + "SELECT a.repo_id, a.source_path, b.target_path, round(max(greatest(0.0, least(1.0, a.confidence * b.confidence * 0.85::DOUBLE))), 6)::DOUBLE AS confidence, count(DISTINCT a.target_path) AS ways FROM edges_ a JOIN edges_ b ON a.repo_id = b.repo_id AND a.target_path = b.source_path WHERE a.source_path <> b.target_path GROUP BY 1, 2, 3",
     "edge_import": W + ", s AS (SELECT repo_id, path FROM safe_ WHERE role IN ('source', 'test')) SELECT repo_id, kind, CASE WHEN EXISTS (SELECT 1 FROM s WHERE s.repo_id = e.repo_id AND s.path = e.source_path) AND EXISTS (SELECT 1 FROM s WHERE s.repo_id = e.repo_id AND s.path = e.target_path) THEN 'accepted' ELSE 'rejected' END AS outcome, count(*) AS edges, round(max(confidence), 6) AS best FROM edges_ e GROUP BY 1, 2, 3",
     "graph_nodes": W + "SELECT repo_id, path, max(confidence) AS weight, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM (SELECT repo_id, source_path AS path, confidence, 1 AS o, 0 AS i FROM edges_ UNION ALL SELECT repo_id, target_path, confidence, 0, 1 FROM edges_) GROUP BY 1, 2",
+    "symbol_reference_edges": W + SYMBOLS_SQL + f""", sd AS (SELECT d.* FROM docs_ d JOIN safe_ USING (repo_id, path) WHERE d.role IN ('source', 'test') AND d.language IN {REFERENCING}),
+nm AS (SELECT s.repo_id, s.path, name, arg_min(exported, {{'l': line_no, 'k': kind}}) AS exported FROM sym s JOIN sd USING (repo_id, path) WHERE length(name) >= 3 AND (exported OR length(name) >= 4) GROUP BY 1, 2, 3)
+SELECT d.repo_id, d.path AS source_path, n.path AS target_path, name AS symbol, CASE WHEN contains(content, name || '(') OR contains(content, name || '::') THEN 'calls' ELSE 'references' END AS kind, (CASE WHEN contains(content, name || '(') THEN 0.82 WHEN exported THEN 0.72 ELSE 0.58 END)::DOUBLE AS confidence
+FROM sd d JOIN nm n ON d.repo_id = n.repo_id AND d.path <> n.path AND contains(content, name) AND regexp_matches(content, '(^|[^A-Za-z0-9_])' || regexp_escape(name) || '([^A-Za-z0-9_]|$)')""",
     "symbol_search": W + SYMBOLS_SQL + ", q AS (SELECT unnest(['ledger', 'session', 'resolve']) AS t), z AS (SELECT sym.*, t, "
     + f"{P.lower_sql('name')} AS n, contains({P.lower_sql('path')}, t) AS ip, contains({P.lower_sql('signature')}, t) AS sg FROM sym, q), a AS (SELECT repo_id, path, name, kind, line_no, exported, sum((CASE WHEN n = t THEN 24 WHEN starts_with(n, t) THEN 16 WHEN contains(n, t) THEN 12 ELSE 0 END) + CASE WHEN ip THEN 4 ELSE 0 END + CASE WHEN sg THEN 2 ELSE 0 END - CASE WHEN NOT contains(n, t) AND NOT ip AND NOT sg THEN 2 ELSE 0 END)::DOUBLE AS x FROM z GROUP BY 1, 2, 3, 4, 5, 6) SELECT repo_id, path, name, kind, line_no, x + CASE WHEN exported THEN 1 ELSE 0 END AS score FROM a WHERE x > 0 ORDER BY score DESC, path, line_no, repo_id LIMIT 20",
     "related_tests": W + f", f AS (SELECT repo_id, path, role, {P.stem_sql('path')} AS stem, {DIR} AS dir, {MIRROR} AS mirror FROM safe_) SELECT s.repo_id, s.path AS source_path, t.path AS test_path, round(least(0.95, 0.55 + CASE WHEN s.dir = t.dir THEN 0.25 WHEN s.mirror = t.mirror THEN 0.2 ELSE 0 END), 6)::DOUBLE AS confidence FROM f s JOIN f t ON s.repo_id = t.repo_id AND s.stem = t.stem WHERE s.role = 'source' AND t.role = 'test' AND length(s.stem) >= 3",
@@ -354,6 +366,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         role_counts, language_counts, path_classes, area_rollup, area_mode_role, area_families_top, broad_area_top4, inventory_fingerprint, snapshot_diff, store_merge, vector_upsert, read_status, tokenized_queries, identifier_parts, task_information, explicit_paths_found, lexical_search, bm25_search,
-        symbol_extract, symbol_search, import_extract, import_resolve, commit_labels, change_kinds, cochange_hints, newest_commits, mentioned_commits, related_edges, ranked_edges, two_hop_edges, edge_import, graph_nodes, graph_communities, related_tests,
+        symbol_extract, symbol_search, symbol_reference_edges, import_extract, import_resolve, commit_labels, change_kinds, cochange_hints, newest_commits, mentioned_commits, related_edges, ranked_edges, two_hop_edges, edge_import, graph_nodes, graph_communities, related_tests,
     )
 }

@@ -131,3 +131,15 @@ def test_cosine_hits_are_counted_whole(spark):
     got = {r.query_id: r.hits for r in semantic.cosine_at_least(df, df.filter("vec_id % 100 = 0"), 0.08, block=2).collect()}
     assert got == want and min(got.values()) > 50
     assert semantic.cosine_at_least(df.limit(0), df.limit(0), 0.08).count() == 0
+
+
+def test_references_between_files(spark):
+    rows = [
+        ("r", "a.py", "python", "def loadRows(x):\n    pass\ndef _hide():\n    pass\ndef ab():\n    pass\n"),
+        ("r", "b.py", "python", "from a import loadRows\nz = loadRows(1)\n"), ("r", "c.py", "python", "# _hide and reloadRows(2) and ab(1)\nx = loadRows\n"),
+        ("r", "d.py", "python", "myloadRows(1)\n"), ("q", "b.py", "python", "loadRows(1)\n"), ("r", "e.js", "javascript", "export const $go = (a) => a;\n"), ("r", "f.js", "javascript", "$go(1);\n"), ("r", "n.py", "python", None),
+    ]
+    docs = spark.createDataFrame(rows, "repo_id string, path string, language string, content string")
+    got = {(r.source_path, r.target_path, r.symbol): (r.kind, r.confidence) for r in symbols.references(docs, symbols.symbols(docs)).collect()}
+    # a longer name's call counts as in the survey: the form is looked for by its end
+    assert got == {("b.py", "a.py", "loadRows"): ("calls", 0.82), ("c.py", "a.py", "loadRows"): ("calls", 0.82), ("c.py", "a.py", "_hide"): ("references", 0.58), ("f.js", "e.js", "$go"): ("calls", 0.82)}
