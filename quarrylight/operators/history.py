@@ -62,6 +62,16 @@ def mentioned_shas(text: Column) -> Column:
     return F.when(F.contains(F.lower(text), F.lit("commit")), F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
 
 
+def named_commits(texts: DataFrame, commits: DataFrame) -> DataFrame:
+    """Distinct repo_id, sha of the commits that texts of their repository name by 7 or more first digits.
+
+    texts: repo_id, text. Equal first 7 digits are the join key, the rest is compared after.
+    """
+    terms = texts.select("repo_id", F.explode(mentioned_shas(F.col("text"))).alias("short")).distinct().withColumn("_k", F.substring("short", 1, 7))
+    shas = commits.select("repo_id", "sha").distinct().withColumn("_k", F.substring("sha", 1, 7))
+    return shas.join(terms, ["repo_id", "_k"]).filter(F.startswith("sha", F.col("short"))).select("repo_id", "sha").distinct()
+
+
 def parse_name_status(rows: DataFrame, raw: str, *keep: str) -> DataFrame:
     """Rows of NUL-separated name-status output: renames and copies take two paths, the others one."""
     parts = F.split(F.col(raw), "\x00")

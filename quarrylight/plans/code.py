@@ -216,8 +216,16 @@ def newest_commits(spark, sf_dir):
     return rows.groupBy("repo_id", "revision").agg(F.countDistinct("sha").alias("commits"), F.countDistinct("path").alias("paths"), F.count(F.lit(1)).alias("changes"))
 
 
+def named_commits(spark, sf_dir):
+    """Safe files of the commits that queries and documents of their repository name."""
+    c = history.labelled(history.commit_files(table(spark, sf_dir, "commits")), files(spark, sf_dir))
+    texts = table(spark, sf_dir, "search_runs").select("repo_id", F.col("query_text").alias("text")).unionByName(table(spark, sf_dir, "documents").select("repo_id", "text"))
+    hit = c.join(history.named_commits(texts, c), ["repo_id", "sha"], "left_semi")
+    return hit.groupBy("repo_id").agg(F.countDistinct(F.when(F.col("scope") == "safe", F.col("path"))).alias("safe_paths"), F.count_if(F.col("scope") != "safe").alias("excluded"))
+
+
 def mentioned_commits(spark, sf_dir):
-    """Safe files of the commits that a text names by the first 8 digits."""
+    """Safe files of the commits whose title begins with callers, named in made texts by the first 8 digits."""
     c = history.labelled(history.commit_files(table(spark, sf_dir, "commits")), files(spark, sf_dir))
     named = table(spark, sf_dir, "commits").filter("title like 'callers%'").select(F.explode(history.mentioned_shas(F.concat(F.lit("see commit "), F.substring("sha", 1, 8)))).alias("short")).distinct()
     hit = c.withColumn("short", F.substring("sha", 1, 8)).join(named, "short", "left_semi")
@@ -347,6 +355,8 @@ o AS (SELECT c.* FROM commit_files c JOIN touched t USING (repo_id, revision, sh
 h AS (SELECT repo_id, revision, path, count(DISTINCT sha) AS commit_count, array_to_string(list_transform((list(sha ORDER BY at_ DESC, sha))[1:3], lambda x: left(x, 8)), ',') AS sample FROM o GROUP BY 1, 2, 3)
 SELECT repo_id, revision, path, commit_count, round(least(commit_count / 5.0, 0.95), 6)::DOUBLE AS confidence, sample FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, revision ORDER BY commit_count DESC, path) AS rk FROM h) WHERE rk <= 20""",
     "newest_commits": W + ", n AS (SELECT repo_id, revision, sha FROM (SELECT repo_id, revision, sha, row_number() OVER (PARTITION BY repo_id, revision ORDER BY max(at_) DESC, sha) AS r FROM commit_files GROUP BY 1, 2, 3) WHERE r <= 50) SELECT repo_id, revision, count(DISTINCT sha) AS commits, count(DISTINCT path) AS paths, count(*) AS changes FROM commit_files JOIN n USING (repo_id, revision, sha) GROUP BY 1, 2",
+    "named_commits": W + r""", said AS (SELECT repo_id, lower(query_text) AS t FROM search_runs UNION ALL SELECT repo_id, lower(text) FROM documents), terms AS (SELECT DISTINCT repo_id, unnest(regexp_extract_all(t, '\b([0-9a-f]{7,40})\b', 1)) AS short FROM said WHERE contains(t, 'commit'))
+SELECT repo_id, count(DISTINCT CASE WHEN scope = 'safe' THEN path END) AS safe_paths, count(*) FILTER (scope <> 'safe') AS excluded FROM labelled l WHERE EXISTS (SELECT 1 FROM terms t WHERE t.repo_id = l.repo_id AND starts_with(l.sha, t.short)) GROUP BY 1""",
     "mentioned_commits": W + "SELECT repo_id, count(DISTINCT CASE WHEN scope = 'safe' THEN path END) AS safe_paths, count(*) FILTER (scope <> 'safe') AS excluded FROM labelled WHERE left(sha, 8) IN (SELECT left(sha, 8) FROM commits WHERE title LIKE 'callers%') GROUP BY 1",
     "related_edges": W + RELATED_SQL + " SELECT * FROM rel",
     "ranked_edges": W + RELATED_SQL + f", s AS (SELECT *, len(list_intersect({STEM_TOKENS.format('source_path')}, {STEM_TOKENS.format('target_path')})) AS shared FROM rel) SELECT repo_id, source_path, target_path, kind, shared, rank FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY direction, anchor_ord, shared DESC, confidence DESC, source_path, target_path, kind) AS rank FROM s) WHERE rank <= 40",
@@ -366,6 +376,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         role_counts, language_counts, path_classes, area_rollup, area_mode_role, area_families_top, broad_area_top4, inventory_fingerprint, snapshot_diff, store_merge, vector_upsert, read_status, tokenized_queries, identifier_parts, task_information, explicit_paths_found, lexical_search, bm25_search,
-        symbol_extract, symbol_search, symbol_reference_edges, import_extract, import_resolve, commit_labels, change_kinds, cochange_hints, newest_commits, mentioned_commits, related_edges, ranked_edges, two_hop_edges, edge_import, graph_nodes, graph_communities, related_tests,
+        symbol_extract, symbol_search, symbol_reference_edges, import_extract, import_resolve, commit_labels, change_kinds, cochange_hints, newest_commits, mentioned_commits, named_commits, related_edges, ranked_edges, two_hop_edges, edge_import, graph_nodes, graph_communities, related_tests,
     )
 }

@@ -143,3 +143,10 @@ def test_references_between_files(spark):
     got = {(r.source_path, r.target_path, r.symbol): (r.kind, r.confidence) for r in symbols.references(docs, symbols.symbols(docs)).collect()}
     # a longer name's call counts as in the survey: the form is looked for by its end
     assert got == {("b.py", "a.py", "loadRows"): ("calls", 0.82), ("c.py", "a.py", "loadRows"): ("calls", 0.82), ("c.py", "a.py", "_hide"): ("references", 0.58), ("f.js", "e.js", "$go"): ("calls", 0.82)}
+
+
+def test_commits_that_texts_name(spark):
+    a, b, c = "abcdef1234567890" + "0" * 24, "abcdef1999999999" + "1" * 24, "7654321fedcba000" + "2" * 24
+    texts = spark.createDataFrame([("r", "see commit ABCDEF12345 and commit 12345"), ("r", None), ("r", "7654321 without the word"), ("q", f"Commit {c}, twice {c}"), (None, f"commit {b}")], "repo_id string, text string")
+    commits = spark.createDataFrame([(r, s, "p") for r in ("r", "q") for s in (a, b, c, c)] + [("r", None, "p")], "repo_id string, sha string, path string")
+    assert sorted((x.repo_id, x.sha) for x in history.named_commits(texts, commits).collect()) == [("q", c), ("r", a)]
