@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -54,11 +55,78 @@ def test_forms_and_decoys(spark):
     assert got == {(n, i) for n in docs for i in (100, 111)}
 
 
+def block(item, shared=()):
+    return L.Items([(1, item, [[], [], list(shared)])])
+
+
 def kept(item, doc):
-    got = {i: k for _, i, k in L.matches(L.Items({1: " ".join(item)}), [" ".join(doc)])}
+    got = {i: k for _, i, k in L.matches(block(item), [" ".join(doc)])}
     return got.get(1, 0)
 
 
+def planted(seed, pieces, edits, kind):
+    """An item and a document that holds pieces of it, ten item words apart, with edits at random places."""
+    rnd = random.Random(seed)
+    item = [f"{rnd.choice(VOCAB)}{rnd.randint(0, 9)}" for _ in range(90)]
+    noise = lambda n: [rnd.choice(VOCAB) + "x" for _ in range(n)]
+    places = [(i, j) for i, n in enumerate(pieces) for j in range(n)]
+    hit = set(rnd.sample(places, edits))
+    at, doc = rnd.randint(0, 40), noise(40)
+    for i, n in enumerate(pieces):
+        for j, w in enumerate(item[at : at + n]):
+            how = kind if kind != "mixed" else rnd.choice(["replaced", "inserted", "left out"])
+            if (i, j) not in hit:
+                doc.append(w)
+            elif how == "replaced":
+                doc.append(f"sub{rnd.randint(0, 99)}")
+            elif how == "inserted":
+                doc += [w, f"ins{rnd.randint(0, 99)}"]
+        at += n + 10
+        doc += noise(20)
+    return item, doc
+
+
+def recall(pieces, edits, kind, rounds=100):
+    return sum(kept(*planted(s, pieces, edits, kind)) > 0 for s in range(rounds)) / rounds
+
+
+@pytest.mark.parametrize("kind", ["replaced", "inserted", "mixed"])
+@pytest.mark.parametrize("edits", range(7))
+def test_recall_by_edits(kind, edits):
+    assert recall([25], edits, kind) >= 0.9
+    assert recall([30], edits + 1, kind) >= 0.95
+
+
+@pytest.mark.parametrize("first", range(13, 25))
+def test_recall_by_split(first):
+    assert recall([first, 25 - first], 0, "replaced") == 1
+    assert recall([25 - first, first], 0, "replaced") == 1
+    for edits in (1, 2, 3):
+        assert recall([first + 2, 27 - first], edits, "mixed", 80) >= 0.9
+
+
+def test_fewer_words_than_asked_for():
+    for n in range(10, 25):
+        assert recall([n], 0, "replaced", 60) == 0
+
+
+def test_edits_against_shared_wording_prove_nothing():
+    w = [f"own{a}{b}" for a in VOCAB[:9] for b in VOCAB[:9]]
+    doc = [x if i % 4 else "other" for i, x in enumerate(w[:29])]
+    assert L.WORDS <= max(k for _, _, k in L.matches(block(w), [" ".join(doc)]))
+    assert not list(L.matches(block(w, range(1, 27)), [" ".join(doc)]))
+    assert list(L.matches(block(w, range(1, 27)), [" ".join(w[:29])]))
+
+
+def test_shared_wording_is_counted_over_different_items(spark):
+    form = passage(50, 12)
+    items = [" ".join([*passage(s, 20), *form, *passage(s + 100, 20)]) for s in range(3)]
+    _, e = frames(spark, [], [*items, *[" ".join(passage(9, 40))] * 4])
+    rows = {r.item_id: r for r in L.own_wording(e, "item_id", "text").collect()}
+    assert all(set(range(20, 30)) <= set(rows[100 + i].m3) for i in range(3))
+    assert not any(rows[103 + i].m3 for i in range(4))
+
+
 def test_repeated_and_crossing_copies():
     w = [f"own{a}{b}" for a in VOCAB[:9] for b in VOCAB[:9]]
     gap = lambda s: passage(700 + s, 40)
@@ -84,7 +152,7 @@ def test_short_pieces_and_single_hits():
     # 25 words in order, seven words inserted among them: one whole piece of the item is left
     cut = [2, 5, 8, 11, 14, 17, 20]
     doc = [x for n, y in enumerate(w[:25]) for x in ((y, f"in{n}") if n - 1 in cut else (y,))]
-    assert len(L.Items({1: " ".join(w)}).hits([[L.Items({1: " ".join(w)}).code.get(x, -1) for x in doc]])[0]) == 1
+    assert len(block(w).hits([[block(w).code.get(x, -1) for x in doc]])[0]) == 1
     assert kept(w, doc) == 25
     assert kept(w, noise + w[30:40] + noise) == 0
 
@@ -95,9 +163,12 @@ def test_best_pair_against_brute_force():
         found = []
         for _ in range(rnd.randint(0, 12)):
             q, p, n = rnd.randint(0, 40), rnd.randint(0, 60), rnd.randint(1, 15)
-            found.append((n, q, q + n - 1, p, p + n - 1))
-        pairs = [a[0] + b[0] for a in found for b in found if a[2] < b[1] and a[4] < b[3]]
-        assert L.held(found) == max([f[0] for f in found] + pairs, default=0)
+            found.append((rnd.randint(0, 3), q, q + n - 1, p, p + n - 1))
+        best = L.held(found)
+        size = lambda f: f[2] - f[1] + 1
+        long = lambda a, b: size(a) >= L.RUN and size(b) >= L.RUN
+        pairs = [size(a) + size(b) + min(min(a[0], L.ENDS) + min(b[0], L.ENDS), L.ENDS) + long(a, b) for a in found for b in found if a[2] < b[1] and a[4] < b[3]]
+        assert best[0] == max([size(f) + min(f[0], L.ENDS) for f in found] + pairs, default=0)
 
 
 def test_blocks_give_the_same(spark, monkeypatch):
@@ -105,7 +176,7 @@ def test_blocks_give_the_same(spark, monkeypatch):
     d, e = frames(spark, [" ".join(w[5:45]) for w in items], [" ".join(w) for w in items])
     want = {(i, 100 + i) for i in range(7)}
     assert {(r.doc_id, r.item_id) for r in L.leaked(d, e).collect()} == want
-    monkeypatch.setattr(L, "BLOCK", 3)
+    monkeypatch.setattr(L, "BLOCK", 120)
     assert {(r.doc_id, r.item_id) for r in L.leaked(d, e).collect()} == want
 
 
