@@ -121,6 +121,7 @@ class Items:
         for ws, marks in zip(self.own, self.shared):
             covered = {q + j for q in marks[PIECE - 1] for j in range(PIECE)}
             self.told.append([0, *accumulate(q not in covered for q in range(len(ws)))])
+        self._pairs: dict[int, dict[tuple[int, ...], list[int]]] = {}
         keys, item, place = [], [], []
         for n, ws in enumerate(self.own):
             for q in range(0, len(ws) - PIECE + 1, PIECE):
@@ -131,6 +132,12 @@ class Items:
         self.keys = np.array(keys, dtype=np.int64)[order]
         self.item, self.place = np.array(item, dtype=np.int64)[order], np.array(place, dtype=np.int64)[order]
 
+    def pairs_of(self, n: int) -> dict[tuple[int, ...], list[int]]:
+        """The runs of two words of the n-th item, worked out once."""
+        if n not in self._pairs:
+            self._pairs[n] = grams(self.own[n], 2)
+        return self._pairs[n]
+
     def _key(self, ws: list[int]) -> int:
         out = 0
         for w in ws:
@@ -273,17 +280,25 @@ def passage(item: list[int], doc: list[int], told: list[int], common: set[int],
     return best
 
 
-def runs(item: list[int], doc: list[int], shared: list[set[int]], least: int) -> list[Seed]:
-    """All longest runs of ``least`` or more equal words.
+def grams(item: list[int], least: int) -> dict[tuple[int, ...], list[int]]:
+    """The places of each run of ``least`` words."""
+    at: dict[tuple[int, ...], list[int]] = {}
+    for q, gram in enumerate(zip(*(item[j:] for j in range(least)))):
+        at.setdefault(gram, []).append(q)
+    return at
+
+
+def runs(item: list[int], doc: list[int], shared: list[set[int]], least: int, at: dict[tuple[int, ...], list[int]] | None = None) -> list[Seed]:
+    """All longest runs of ``least`` or more equal words; ``at`` has the item's.
 
     A run shorter than a piece counts only where it is the item's own: one or two words that several items hold are chance.
     """
-    at: dict[tuple[int, ...], list[int]] = {}
-    for q in range(len(item) - least + 1):
-        at.setdefault(tuple(item[q : q + least]), []).append(q)
+    at = grams(item, least) if at is None else at
     out = []
     for p, gram in enumerate(zip(*(doc[j:] for j in range(least)))):
-        for q in at.get(gram, ()):
+        if gram not in at:
+            continue
+        for q in at[gram]:
             if q and p and item[q - 1] == doc[p - 1]:
                 continue
             n = least
@@ -326,20 +341,26 @@ def matches(items: Items, texts: list[str | None], least: int = WORDS) -> Iterat
     pair, q, p = pair[order], q[order], p[order]
     start = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))) if len(pair) else np.zeros(0, dtype=np.int64)
     end = np.concatenate((start[1:], [len(pair)]))
-    alone = end - start == 1
-    vain = np.zeros(len(start), dtype=bool)
-    # of two pieces the longer one covers half of the words, but for edited ends
+    # of two pieces the longer one covers half of the words, but for edited ends; a hit that leads nowhere covers a piece
     half = (least - ENDS) // 2
-    if half > PIECE:
-        vain[alone] = ~grows(items, docs, pair[start[alone]] // max(1, len(items.ids)), pair[start[alone]] % max(1, len(items.ids)), q[start[alone]], p[start[alone]])
-    for s, e in zip(start[~vain], end[~vain]):
+    grow = grows(items, docs, pair // max(1, len(items.ids)), pair % max(1, len(items.ids)), q, p)
+    told_ = np.add.reduceat(grow, start) > 0 if len(start) and half > PIECE else np.ones(len(start), dtype=bool)
+    for s, e in zip(start[told_], end[told_]):
         row, n = divmod(int(pair[s]), len(items.ids))
         own, doc, told, shared = items.own[n], docs[row], items.told[n], items.shared[n]
-        found = [f for c in chains([(x, y, PIECE) for x, y in zip(q[s:e].tolist(), p[s:e].tolist())]) if (f := passage(own, doc, told, shared[0], c))]
+        lone = {(x, y) for x, y, g in zip(q[s:e].tolist(), p[s:e].tolist(), grow[s:e].tolist()) if not g}
+        found = []
+        for c in chains([(x, y, PIECE) for x, y in zip(q[s:e].tolist(), p[s:e].tolist())]):
+            if len(c) == 1 and c[0][:2] in lone:
+                found.append((0, c[0][0], c[0][0] + PIECE - 1, c[0][1], c[0][1] + PIECE - 1))
+            elif f := passage(own, doc, told, shared[0], c):
+                found.append(f)
+        if max((f[2] - f[1] + 1 for f in found), default=0) < min(half, least - ENDS):
+            continue
         with_ends, covered = held(found)
-        if with_ends < least and max((f[2] - f[1] + 1 for f in found), default=0) >= half:
+        if with_ends < least:
             # pieces without a whole piece of the item, and pieces that an extension ran into
-            seeds = runs(own, doc, shared, 2)
+            seeds = runs(own, doc, shared, 2, items.pairs_of(n))
             found += [f for c in chains(seeds) if (f := passage(own, doc, told, shared[0], c))]
             if with_ends + 1 >= least:
                 seeds = runs(own, doc, shared, 1)
