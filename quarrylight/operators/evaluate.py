@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import first_rows
+
 from .feedback import ratio
 
 BUDGET_TABLE = [("brief", 5, 4_000), ("standard", 10, 24_000), ("deep", 20, 100_000)]
@@ -60,10 +62,11 @@ def gaps(rows: DataFrame, rank: str, other: str, k: int = 10) -> DataFrame:
     """Relevant rows that a variant misses, by kind of gap and role: count and the first three paths."""
     miss = rows.filter(F.col("relevant") & (F.col(rank).isNull() | (F.col(rank) > k)))
     gap = F.when(F.col(rank).isNull() & F.col(other).isNull(), "no_candidate_signal").when(F.col(other) <= k, "other_only_hit").otherwise("ranked_too_low")
-    # the first paths of parts of the rows, then of the parts: no task gathers a whole group
-    part = F.pmod(F.xxhash64("path"), F.lit(64))
-    some = miss.groupBy(gap.alias("gap"), "role", part.alias("_p")).agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first"))
-    return some.groupBy("gap", "role").agg(F.sum("n").alias("misses"), F.array_join(F.slice(F.array_sort(F.collect_set("first")), 1, 3), ",").alias("examples"))
+    # three paths of each kind at most leave a task before the last aggregate
+    paths = miss.groupBy(gap.alias("gap"), "role", "path").agg(F.count(F.lit(1)).alias("n"))
+    some = first_rows(paths, ["gap", "role"], [F.asc("path")], 3).groupBy("gap", "role").agg(F.array_join(F.array_sort(F.collect_list("path")), ",").alias("examples"))
+    kinds = paths.groupBy(F.col("gap").alias("_g"), F.col("role").alias("_r")).agg(F.sum("n").alias("misses"))
+    return some.join(kinds, F.col("gap").eqNullSafe(F.col("_g")) & F.col("role").eqNullSafe(F.col("_r"))).select("gap", "role", "misses", "examples")
 
 
 def top_missing(rows: DataFrame, rank: str, k: int = 10, limit: int = 20) -> DataFrame:

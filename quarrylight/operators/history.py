@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .pairs import normal_path
-from .topn import first_rows
+from ..functions.paths import normal_path
+from .ranks import first_rows
 
 #: Name-status letters (fixed values).
 KINDS = {"A": "added", "M": "modified", "D": "deleted", "R": "renamed", "C": "copied", "T": "type_changed"}

@@ -28,7 +28,7 @@ def safe_files(files: DataFrame, roles: tuple[str, ...] = SAFE) -> DataFrame:
 def guarded_status(content: Column, excluded: Column, size: Column, most: int = MOST_BYTES) -> Column:
     """policy_excluded, oversized, unreadable, binary, non_utf8 or read: the first that holds, content being bytes."""
     return (
-        F.when(excluded, "policy_excluded").when(size > most, "oversized").when(content.isNull(), "unreadable").when(F.instr(F.hex(content), "00") % 2 == 1, "binary").when(~F.is_valid_utf8(content.cast("string")), "non_utf8").otherwise("read")
+        F.when(excluded, "policy_excluded").when(size > most, "oversized").when(content.isNull(), "unreadable").when(F.contains(content, F.lit(bytearray(1))), "binary").when(~F.is_valid_utf8(content.cast("string")), "non_utf8").otherwise("read")
     )
 
 

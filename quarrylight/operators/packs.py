@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.paths import ascii_lower, explicit_paths
 from .history import mentioned_shas
-from .topn import first_rows
+from .ranks import first_rows
 
 #: Targets, tests and lines a snippet that a budget holds (fixed values).
 LIMITS = {"brief": (3, 2, 80), "standard": (5, 4, 180), "deep": (8, 6, 320)}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import map_arrow
 
-from .topn import top_n_per_group
+from .ranks import best_items
 
 #: Query vectors that a block holds and broadcasts (64 dimensions: about 1 MB a thousand).
 BLOCK = 2_000
@@ -70,7 +70,7 @@ def cosine_top(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "
 
         got = map_arrow(base, run, "query_id bigint, item bigint, score double")
         out = got if out is None else out.unionByName(got)
-    return top_n_per_group(out, ["query_id"], "item", "score", n=k, salts=4)
+    return best_items(out, ["query_id"], "item", "score", k)
 
 
 def cosine_at_least(vectors: DataFrame, queries: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, inventory
 from ..operators.feedback import ratio
-from ..operators.topn import first_rows
+from ..operators.ranks import first_rows
 from ..sources.tables import table
 from . import code, ranking
 

@@ -9,8 +9,7 @@ from ..functions import paths as P
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import evaluate, feedback, fusion, graph, semantic
-from ..operators.pairs import normal_path
-from ..operators.topn import top_n_per_group
+from ..operators.ranks import best_items
 from ..session import work_path
 from ..sources.tables import table
 from ..streaming import feeds
@@ -21,7 +20,7 @@ KEY = ["search_id", "repo_id"]
 def plan_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long signals of every search: lexical hits, and what their three best lead to by edges and by common changes."""
     runs = table(spark, sf_dir, "search_runs").groupBy("search_id").agg(F.max(F.coalesce("result_limit", F.lit(10))).alias("n"))
-    hits = top_n_per_group(table(spark, sf_dir, "search_results"), KEY, "path", "score", n=24).withColumnRenamed("item", "path")
+    hits = best_items(table(spark, sf_dir, "search_results"), KEY, "path", "score", 24).withColumnRenamed("item", "path")
     hits = hits.join(runs, "search_id", "left")
     # hits beyond the search's own limit count as expansion
     lexical = hits.select(
@@ -31,7 +30,7 @@ def plan_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = graph.clean_edges(table(spark, sf_dir, "edges")).groupBy("repo_id", "source_path", "target_path").agg(F.max("confidence").alias("c"))
     near = seeds.join(e, (seeds["repo_id"] == e["repo_id"]) & (seeds["seed"] == e["source_path"])).select("search_id", seeds["repo_id"], F.col("target_path").alias("path"), F.col("rank"), "c")
     dependency = near.groupBy(*KEY, "path").agg(F.max(fusion.decayed(F.col("c"), F.col("rank"))).alias("score"))
-    hints = table(spark, sf_dir, "co_change").select("repo_id", normal_path(F.col("anchor_path")).alias("seed"), normal_path(F.col("path")).alias("path"), "commit_count")
+    hints = table(spark, sf_dir, "co_change").select("repo_id", P.normal_path(F.col("anchor_path")).alias("seed"), P.normal_path(F.col("path")).alias("path"), "commit_count")
     hints = hints.groupBy("repo_id", "seed", "path").agg(F.max("commit_count").alias("k"))
     changed = seeds.join(hints, ["repo_id", "seed"]).groupBy(*KEY, "path").agg(F.max(F.least(F.lit(0.95), F.col("k") / 5)).alias("score"))
     none = F.lit(None).cast("bigint").alias("lexical_rank")

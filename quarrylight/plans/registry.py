@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import code, dealt, packs, quality, ranking
+from . import code, packs, quality, ranking
 
-MODULES = (ranking, code, packs, quality, dealt)
+MODULES = (ranking, code, packs, quality)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

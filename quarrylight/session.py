@@ -30,10 +30,13 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, named by ``spark.checkpoint.dir``.
 
-    Only where the session names none, as in tests on one machine, a temporary folder is made and set.
+    Only where the session names none and runs on one machine, as in tests, a temporary folder is made and set; on a
+    cluster no machine-local folder would do, and a missing setting is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quarrylight-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)

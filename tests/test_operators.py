@@ -1,5 +1,11 @@
+from types import SimpleNamespace
+
+import pytest
 from pyspark.sql import functions as F
 
+from quarrylight.functions.paths import normal_path
+from quarrylight.operators.ranks import best_items
+from quarrylight.session import shared_dir
 from quarrylight.operators import evaluate, feedback, graph, history, inventory, lexical, semantic, symbols
 
 
@@ -21,6 +27,41 @@ def test_guarded_read(spark):
     assert [r.x for r in df.select(inventory.guarded_status(F.col("c"), F.col("e"), F.col("s")).alias("x")).collect()] == ["read", "binary", "non_utf8", "policy_excluded", "oversized", "unreadable"]
 
 
+def test_guarded_read_finds_any_zero_byte(spark):
+    cases = {b"\x10\x01\x00": "binary", b"\x00": "binary", b"\x10\x01": "read", b"": "read", b"\x50\x05": "read", b"\x00\x10\x00": "binary"}
+    df = spark.createDataFrame([(bytearray(k), False, 3) for k in cases], "c binary, e boolean, s bigint")
+    assert [r.x for r in df.select(inventory.guarded_status(F.col("c"), F.col("e"), F.col("s")).alias("x")).collect()] == list(cases.values())
+
+
+def test_gap_examples_are_the_first_three(spark):
+    rows = [(q, f"p{(q * 37) % 90:02d}", "r", True, None if q % 2 else 20, None) for q in range(200)]
+    df = spark.createDataFrame(rows, "query int, path string, role string, relevant boolean, a int, b int")
+    got = {r.gap: (r.misses, r.examples) for r in evaluate.gaps(df, "a", "b").collect()}
+    want = {}
+    for _, p, _, _, a, _ in rows:
+        want.setdefault("no_candidate_signal" if a is None else "ranked_too_low", []).append(p)
+    assert got == {k: (len(v), ",".join(sorted(set(v))[:3])) for k, v in want.items()}
+
+
+def test_normal_path(spark):
+    cases = {"./a/b.py": "a/b.py", " a\\b ": "a/b", "././x": "x", "": None, "  ": None, ".github/x": ".github/x"}
+    df = spark.createDataFrame([(k,) for k in cases], "p string")
+    assert {r.p: r.n for r in df.select("p", normal_path(F.col("p")).alias("n")).collect()} == cases
+
+
+def test_best_items(spark):
+    rows = [("a", "x", 1.0), ("a", "x", 3.0), ("a", "y", 3.0), ("a", None, 9.0), ("a", "z", float("nan")), ("b", "w", None), (None, "v", 0.5)]
+    df = spark.createDataFrame(rows, "k string, i string, s double")
+    assert {(r.k, r["item"], r["rank"]) for r in best_items(df, ["k"], "i", "s", 2).collect()} == {("a", "x", 1), ("a", "y", 2), (None, "v", 1)}
+
+
+def test_no_local_folder_on_a_cluster():
+    conf = SimpleNamespace(get=lambda *a: None)
+    fake = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="yarn", getConf=lambda: conf))
+    with pytest.raises(ValueError):
+        shared_dir(fake)
+
+
 def test_merge_and_diff(spark):
     old = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", None)], "path string, hash string")
     new = spark.createDataFrame([("a", "1"), ("b", "9"), ("d", "4"), ("c", None)], "path string, hash string")
