@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import spread, table
-from . import encode, leaks, provenance, readability, secrets, syntax
+from . import algorithms, encode, leaks, provenance, readability, secrets, syntax
 
 
 def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,5 +52,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readability.reading_levels(_documents(spark, sf_dir), table(spark, sf_dir, "level_labels")).select("doc_id", "reading_level")
 
 
-QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_kinds": p5_kinds, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
-SQL: dict[str, str] = {}
+QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_kinds": p5_kinds, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found} | algorithms.QUERIES
+SQL: dict[str, str] = dict(algorithms.SQL)
