@@ -3,8 +3,7 @@
 The table keeps these relations in hash buckets below one folder of the shared file system:
 
 * ``baskets``   the items of every basket, with what they were before the generation that changed them last;
-* ``totals``    number of non-empty baskets per group;
-* ``marginals`` number of baskets per group and item, under the item's code;
+* ``marginals`` number of baskets per group and item, under the item's code; without an item, of non-empty baskets per group;
 * ``pairs``     number of baskets per unordered pair of codes;
 * ``scores``    the association scores of all pairs seen ``min_count`` times or more.
 
@@ -31,9 +30,10 @@ of their own; extra columns of any name are ignored; an empty change leaves the
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK = 64
@@ -74,23 +74,21 @@ class PairTable:
     """Persistent pair counts below ``path``, opened again if they are there; see the module's text."""
 
     def __init__(self, spark: SparkSession, path: str, group: dict[str, str], item_type: str = "string", min_count: int = 1, buckets: int | None = None):
-        self.spark, self.path, self.group = spark, path, list(group)
+        self.spark, self.path, self.group, self.item_type = spark, path, list(group), item_type
         kept = self._manifest()
         self.generation = kept.get("generation", 0)
-        self.at = {n: {int(b): g for b, g in kept.get("at", {}).get(n, {}).items()} for n in ("baskets", "totals", "marginals", "pairs", "scores")}
+        self.at = {n: {int(b): g for b, g in kept.get("at", {}).get(n, {}).items()} for n in ("baskets", "marginals", "pairs", "scores")}
         self.fixed, self.buckets, self.seed = buckets, kept.get("buckets", buckets or FEW), kept.get("seed", 0)
         self.score_buckets = kept.get("score_buckets", 0)
         self.counted, self.scored, self.min_count = kept.get("counted", 0), kept.get("scored", 0), kept.get("min_count", min_count)
         key = "".join(f"`{k}` {t}, " for k, t in group.items())
         self.schema = {
             "baskets": f"{key}_basket string, _items array<{item_type}>, _was array<{item_type}>, _changed int",
-            "totals": f"{key}_n bigint",
             "marginals": f"_code bigint, {key}_a {item_type}, _n bigint, _clash boolean",
             "pairs": "_x bigint, _y bigint, _n bigint",
             "scores": f"{key}item_a {item_type}, item_b {item_type}, n bigint, n_a bigint, n_b bigint, n_ab bigint, lift double, confidence double",
-            "touched": key.rstrip(", ") if key else "_all int",
         }
-        self.keys = {"baskets": [*self.group, "_basket"], "totals": self.group, "marginals": ["_code"], "pairs": ["_x", "_y"], "scores": self.group}
+        self.keys = {"baskets": [*self.group, "_basket"], "marginals": ["_code"], "pairs": ["_x", "_y"], "scores": self.group}
 
     # -- files
 
@@ -103,7 +101,7 @@ class PairTable:
 
     def _commit(self) -> None:
         kept = {"generation": self.generation, "buckets": self.buckets, "seed": self.seed, "counted": self.counted, "scored": self.scored, "score_buckets": self.score_buckets, "min_count": self.min_count, "at": self.at}
-        self.spark.createDataFrame([(json.dumps(kept),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest/gen={self.generation}")
+        self.spark.range(1).select(F.lit(json.dumps(kept)).alias("value")).coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest/gen={self.generation}")
 
     def read(self, name: str, only: set[int] | None = None) -> DataFrame:
         """The current rows of a relation, of some buckets or of all."""
@@ -117,7 +115,7 @@ class PairTable:
     def _store(self, name: str, rows: DataFrame, at: str) -> set[int]:
         """Write rows by bucket; the buckets written."""
         rows.withColumn("_bucket", self._bucket(name)).write.partitionBy("_bucket").mode("overwrite").parquet(at)
-        return {r[0] for r in self.spark.read.schema(f"{self.schema[name]}, _bucket int").parquet(at).select("_bucket").distinct().collect()}
+        return {int(m[1]) for f in self.spark.read.schema(self.schema[name]).parquet(at).inputFiles() if (m := re.search(r"/_bucket=(\d+)/", f))}
 
     def _replace(self, name: str, rows: DataFrame, buckets: set[int] | None) -> None:
         """Make rows the content of the buckets; None: of all, whatever their number was."""
@@ -156,10 +154,12 @@ class PairTable:
             hit = set(self.at["baskets"])
         else:
             at = f"{self.path}/incoming/gen={gen}"
-            hit = self._store("baskets", given, at)
+            seen = Observation()
+            hit = self._store("baskets", given.observe(seen, F.sum(size * (size - 1) / 2).alias("pairs")), at)
             given = self.spark.read.schema(self.schema["baskets"]).parquet(at)
-            rows = given.agg(F.sum(size * (size - 1) / 2)).first()[0] or 0
-            if self._fit(self.counted + int(rows)):
+            rows = seen.get["pairs"] or 0
+            # so many pairs are in every bucket, and which ones they touch need not be found out
+            if self._fit(self.counted + int(rows)) or rows >= 16 * self.buckets:
                 hit = None
             new = given.select(*[F.col(c).alias(f"n{i}") for i, c in enumerate([*g, "_basket"])], F.col("_items").alias("_new"))
             old = self.read("baskets", hit)
@@ -172,15 +172,14 @@ class PairTable:
                 *[F.when(here, F.col(c)).otherwise(F.col(f"n{i}")).alias(c) for i, c in enumerate([*g, "_basket"])],
                 after.alias("_items"), F.when(moved, F.col("_items")).alias("_was"), F.when(moved, F.lit(gen)).otherwise(F.col("_changed")).alias("_changed"),
             )
-            # a basket that was emptied stays for this generation, so that its old pairs are taken back
-            self._replace("baskets", both.filter((F.size("_items") > 0) | (F.col("_changed") == gen)), hit)
+            # a basket that was emptied stays until its pairs are taken back and its group's scores are made anew
+            self._replace("baskets", both.filter((F.size("_items") > 0) | (F.col("_changed") > self.scored)), hit)
         signed = self._signed(self.read("baskets", hit).filter(F.col("_changed") == gen))
-        signed.select(*g or [F.lit(1).alias("_all")]).distinct().write.mode("overwrite").parquet(f"{self.path}/touched/gen={gen}")
-        self._count(signed, rebuild=hit is None)
+        self._count(signed, everywhere=hit is None)
         self._commit()
 
     def _array(self) -> str:
-        return self.schema["baskets"].split("_items ")[1].split(", _was")[0]
+        return f"array<{self.item_type}>"
 
     def _fit(self, counted: int) -> bool:
         """Take the number of pairs counted; whether the number of buckets changes for it."""
@@ -201,57 +200,59 @@ class PairTable:
         tell = [x for c in self.group for x in (F.isnull(c), F.col(c))]
         return both.withColumn("_codes", F.array_sort(F.transform("_items", lambda x: F.xxhash64(F.lit(self.seed), *tell, x))))
 
-    def _count(self, signed: DataFrame, rebuild: bool) -> None:
-        """Merge the deltas of signed baskets into the counts."""
-        g, gen = self.group, self.generation
+    def _count(self, signed: DataFrame, everywhere: bool) -> None:
+        """Merge the deltas of signed baskets into the counts, in the buckets they touch or in all."""
+        g, gen, seen = self.group, self.generation, Observation()
         tell = [x for c in g for x in (F.isnull(c), F.col(c))]
-        one = signed.select(*g, "_sign", F.explode("_items").alias("_a"))
+        one = signed.select(*g, "_sign", F.explode(F.concat(F.array(F.lit(None).cast(self.item_type)), "_items")).alias("_a"))
         deltas = {
-            "totals": signed.groupBy(*g).agg(F.sum("_sign").cast("bigint").alias("_n")),
             "marginals": one.groupBy(*g, "_a").agg(F.sum("_sign").alias("_n")).select(F.xxhash64(F.lit(self.seed), *tell, F.col("_a")).alias("_code"), *g, "_a", "_n", F.lit(False).alias("_clash")),
             "pairs": basket_pairs(signed.filter(F.size("_codes") > 1), ["_sign"], [*g, "_basket", "_sign"]).groupBy("_x", "_y").agg(F.sum("_sign").alias("_n")),
         }
         for name, delta in deltas.items():
             hit: set[int] | None = None
             if self.at[name]:
-                at = f"{self.path}/delta-{name}/gen={gen}"
-                hit = self._store(name, delta.filter("_n <> 0"), at)
-                hit = None if rebuild else hit
-                delta = self.spark.read.schema(self.schema[name]).parquet(at).drop("_bucket").unionByName(self.read(name, hit))
+                if not everywhere:
+                    at = f"{self.path}/delta-{name}/gen={gen}"
+                    hit = self._store(name, delta.filter("_n <> 0"), at)
+                    delta = self.spark.read.schema(self.schema[name]).parquet(at).drop("_bucket")
+                delta = delta.unionByName(self.read(name, hit))
+                if name == "pairs":
+                    delta = delta.groupBy("_x", "_y").agg(F.sum("_n").alias("_n"))
             if name == "marginals":
                 # rows of one code that differ in group or item are two items
                 who = F.struct(*g, "_a")
                 delta = delta.groupBy("_code").agg(F.min(who).alias("w"), F.sum("_n").alias("_n"), (F.count_if("_clash") + F.when(F.min(who) != F.max(who), 1).otherwise(0) > 0).alias("_clash"))
-                delta = delta.select("_code", "w.*", "_n", "_clash").filter(F.col("_clash") | (F.col("_n") != 0))
-            elif hit is not None or self.at[name]:
-                delta = delta.groupBy(*self.keys[name]).agg(F.sum("_n").alias("_n"))
-            self._replace(name, delta if name == "marginals" else delta.filter("_n <> 0"), hit)
-        if self.read("marginals", None).filter("_clash").limit(1).count():
+                delta = delta.select("_code", "w.*", "_n", "_clash")
+            delta = delta.filter("_n <> 0" if name == "pairs" else "_n <> 0 or _clash")
+            if name == "marginals":
+                delta = delta.observe(seen, F.count_if("_clash").alias("clashes"))
+            self._replace(name, delta, hit)
+        if seen.get["clashes"]:
             self.seed += 1
             for name in deltas:
                 self.at[name] = {}
             everything = self.read("baskets").withColumn("_was", F.lit(None).cast(self._array()))
-            self._count(self._signed(everything), rebuild=True)
+            self._count(self._signed(everything), everywhere=True)
 
     # -- scores
 
     def _touched(self) -> DataFrame:
         """Groups that changed since the scores were made."""
-        paths = [f"{self.path}/touched/gen={n}" for n in range(self.scored + 1, self.generation + 1)]
-        names = self.group or ["_all"]
-        rows = self.spark.read.schema(self.schema["touched"]).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema["touched"])
-        return rows.distinct().select(*[F.col(c).alias(f"t{i}") for i, c in enumerate(names)])
+        rows = self.read("baskets").filter(F.col("_changed") > self.scored)
+        names = self.group or [F.lit(0)]
+        return rows.select(*[F.col(c).alias(f"t{i}") if isinstance(c, str) else c.alias("t0") for i, c in enumerate(names)]).distinct()
 
     def _scored(self, touched: DataFrame | None, min_count: int) -> DataFrame:
         g = self.group
         here = [f"t{i}" for i in range(len(g))]
         pairs = self.read("pairs").filter(F.col("_n") >= min_count)
-        m, totals = self.read("marginals").drop("_clash"), self.read("totals")
+        m = self.read("marginals")
         if touched is not None and g:
-            m, totals = m.join(touched, _same(g, here), "left_semi"), totals.join(touched, _same(g, here), "left_semi")
-        left = m.select(F.col("_code").alias("_x"), *g, F.col("_a").alias("l"), F.col("_n").alias("nl"))
-        right = m.select(F.col("_code").alias("_y"), F.col("_a").alias("r"), F.col("_n").alias("nr"))
-        total = totals.select(*[F.col(c).alias(f"g{i}") for i, c in enumerate(g)], F.col("_n").alias("n"))
+            m = m.join(touched, _same(g, here), "left_semi")
+        left = m.filter("_a is not null").select(F.col("_code").alias("_x"), *g, F.col("_a").alias("l"), F.col("_n").alias("nl"))
+        right = self.read("marginals").filter("_a is not null").select(F.col("_code").alias("_y"), F.col("_a").alias("r"), F.col("_n").alias("nr"))
+        total = m.filter("_a is null").select(*[F.col(c).alias(f"g{i}") for i, c in enumerate(g)], F.col("_n").alias("n"))
         rows = pairs.join(left, "_x").join(right, "_y").join(total, _same(g, [f"g{i}" for i in range(len(g))]))
         swap = F.col("l") > F.col("r")
         rows = rows.select(
@@ -271,7 +272,7 @@ class PairTable:
         if not first:
             names = [f"t{i}" for i in range(len(self.group))]
             own = F.pmod(F.hash(*names) if names else F.hash(F.lit(0)), F.lit(self.buckets)).cast("int")
-            hit = {r[0] for r in touched.select(own).distinct().collect()} if self.score_buckets == self.buckets else None
+            hit = {r[0] for r in touched.select(own.alias("b")).distinct().collect()} if self.score_buckets == self.buckets else None
             new = self.read("scores", hit).join(touched, _same(self.group, names) if names else F.lit(True), "left_anti").unionByName(new)
         # a group's scores go to several files of its bucket, whatever its size
         new = new.repartition(self._bucket("scores"), F.pmod(F.hash("item_a"), F.lit(8)))
