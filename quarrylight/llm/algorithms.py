@@ -21,25 +21,27 @@ def commit_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "commits").select("repo_id", "revision", "sha", paths.alias("paths"), late.alias("late"))
 
 
-def pair_scores(spark: SparkSession, sf_dir: str, min_count: int) -> DataFrame:
-    """Scores after two changes, timely commits and then late ones, of which the second recomputes the affected sidecars."""
+def pair_scores(spark: SparkSession, sf_dir: str, min_count: int, each: bool) -> DataFrame:
+    """Scores after two changes, timely commits and then late ones; ``each``: made after both, the second time for affected sidecars."""
     rows = commit_baskets(spark, sf_dir)
     pairs = PairTable(spark, work_path(spark, "pairs"), SIDECAR, min_count=min_count)
     for part in (rows.filter("not late"), rows.filter("late")):
         pairs.apply(part, "sha", "paths")
-        pairs.refresh()
+        if each:
+            pairs.refresh()
+    pairs.refresh()
     return pairs.scores()
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of paths with at least 4 common commits and three times the chance count."""
-    strong = pair_scores(spark, sf_dir, 4).filter(F.col("n_ab") * F.col("n") >= 3 * F.col("n_a") * F.col("n_b"))
+    strong = pair_scores(spark, sf_dir, 4, each=False).filter(F.col("n_ab") * F.col("n") >= 3 * F.col("n_a") * F.col("n_b"))
     return strong.select("repo_id", "revision", F.col("item_a").alias("path_a"), F.col("item_b").alias("path_b"))
 
 
 def p2_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair seen twice or more, with counts and scores."""
-    out = pair_scores(spark, sf_dir, 2)
+    out = pair_scores(spark, sf_dir, 2, each=True)
     return out.select("repo_id", "revision", F.col("item_a").alias("path_a"), F.col("item_b").alias("path_b"), "n", "n_a", "n_b", "n_ab", F.round("lift", 6).alias("lift"), F.round("confidence", 6).alias("confidence"))
 
 

@@ -55,19 +55,49 @@ def clean(text: str) -> str:
     return text[1:] if text[:1] == "﻿" else text
 
 
+#: Frames of a parse, and of a second one of a text that is nested deeper: some hundred MB of memory at most.
+FRAMES, MOST_FRAMES = 8_000, 1_000_000
+TOO_DEEP = "nested too deeply"
+SIGNS_IN_A_ROW = re.compile(r"[-+~](?:[ \t]*[-+~])+")
+
+
+def deep(language: str, text: str) -> None:
+    """A second parse of a text that is nested deeper than ``FRAMES``; a text that passes this too is a fault of its own."""
+    old = sys.getrecursionlimit()
+    try:
+        if language == "python":
+            # the language's own parser refuses so deep a text; long rows of signs before a value are as valid as one
+            text = SIGNS_IN_A_ROW.sub("-", text)
+        sys.setrecursionlimit(max(old, MOST_FRAMES))
+        PARSERS[language](text)
+    except (RecursionError, MemoryError) as e:
+        if isinstance(e, MemoryError) and "stack" not in str(e).lower():
+            raise
+        raise Bad(0, TOO_DEEP) from None
+    finally:
+        sys.setrecursionlimit(old)
+
+
 def fault(language: str, text: str) -> str | None:
     """Null if the text is valid syntax of the language, else what is wrong.
 
-    A text nested deeper than the parser's stack counts as valid if its tokens are and its brackets match.
+    A text nested deeper than ``FRAMES`` frames is parsed again with more; one that passes ``MOST_FRAMES`` can't be told
+    and is given as ``TOO_DEEP``, never as valid. A worker that lacks memory fails its task, it doesn't judge.
     """
-    if sys.getrecursionlimit() < 8000:
-        sys.setrecursionlimit(8000)
+    if sys.getrecursionlimit() < FRAMES:
+        sys.setrecursionlimit(FRAMES)
+    text = clean(text)
     try:
-        PARSERS[language](clean(text))
+        try:
+            PARSERS[language](text)
+        except RecursionError:
+            deep(language, text)
+        except MemoryError as e:
+            if "stack" not in str(e).lower():
+                raise
+            deep(language, text)
     except Bad as e:
         return e.what or "invalid syntax"
-    except (RecursionError, MemoryError):
-        return None
     return None
 
 

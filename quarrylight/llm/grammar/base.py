@@ -14,29 +14,20 @@ class Bad(Exception):
 
 
 class Tokens:
-    """Parallel lists: kind, value (of names and signs alone), start, end, newline before."""
+    """Tokens as rows while they come (kind, value of names and signs alone, start, end, newline before), then by column."""
 
-    __slots__ = ("end", "kind", "nl", "pair", "start", "sub", "val")
+    __slots__ = ("end", "kind", "nl", "pair", "rows", "start", "sub", "val")
 
     def __init__(self) -> None:
-        self.kind: list[str] = []
-        self.val: list[str | None] = []
-        self.start: list[int] = []
-        self.end: list[int] = []
-        self.nl: list[bool] = []
+        self.rows: list[tuple[str, str | None, int, int, bool]] = []
         self.sub: dict[int, list[Tokens]] = {}
         self.pair: dict[int, int] = {}
 
-    def add(self, kind: str, val: str | None, start: int, end: int, nl: bool = False) -> None:
-        self.kind.append(kind)
-        self.val.append(val)
-        self.start.append(start)
-        self.end.append(end)
-        self.nl.append(nl)
-
     def close(self, at: int) -> Tokens:
         """End the list: an end token, and brackets matched."""
-        self.add("e", None, at, at, True)
+        self.rows.append(("e", None, at, at, True))
+        self.kind, self.val, self.start, self.end, self.nl = zip(*self.rows)
+        self.rows = []
         stack: list[tuple[str, int]] = []
         for i, (k, v) in enumerate(zip(self.kind, self.val)):
             if k != "p":

@@ -19,11 +19,12 @@ ASSIGN = {"=", ":=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<=", ">>=
 
 def lex(text: str) -> Tokens:
     t, at, n = Tokens(), 0, len(text)
+    rows = t.rows
 
     def ends() -> bool:
-        if not t.kind:
+        if not rows:
             return False
-        k, v = t.kind[-1], t.val[-1]
+        k, v = rows[-1][:2]
         return k in "dsc" or (k == "n" and (v not in KEYWORDS or v in ("break", "continue", "fallthrough", "return"))) or v in ("++", "--", ")", "]", "}")
 
     while at < n:
@@ -33,14 +34,14 @@ def lex(text: str) -> Tokens:
         kind, end = m.lastgroup, m.end()
         if kind in ("line", "block"):
             if (kind == "line" or "\n" in m.group()) and ends():
-                t.add("p", ";", at, at)
+                rows.append(("p", ";", at, at, False))
         elif kind != "space":
             if kind == "d" and re.match(r"\w", text[end : end + 1]):
                 raise Bad(at, "bad number")
-            t.add(kind, m.group() if kind in "np" else None, at, end)
+            rows.append((kind, m.group() if kind in "np" else None, at, end, False))
         at = end
     if ends():
-        t.add("p", ";", n, n)
+        rows.append(("p", ";", n, n, False))
     return t.close(n)
 
 

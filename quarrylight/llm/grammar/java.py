@@ -7,10 +7,10 @@ import re
 from .base import Bad, Cursor, Tokens
 
 SCAN = re.compile(
-    r"(?P<space>[ \t\r\n\f]+|//[^\n\r]*|/\*[\s\S]*?\*/)|(?P<n>[^\W\d]\w*|\$\w*)"
+    r"(?P<space>(?:[ \t\r\n\f]+|//[^\n\r]*|/\*[\s\S]*?\*/)*)(?:(?P<n>[^\W\d]\w*|\$\w*)"
     r"|(?P<d>(?:0[xX][0-9a-fA-F_]*(?:\.[0-9a-fA-F_]*)?(?:[pP][+-]?\d+)?|0[bB][01_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?)[lLfFdD]?)"
     r"|(?P<s>\"\"\"[ \t]*\r?\n(?:[^\\]|\\[\s\S])*?\"\"\"|\"(?:[^\"\\\n\r]|\\.)*\")|(?P<c>'(?:[^'\\\n\r]|\\u+[0-9a-fA-F]{4}|\\[0-7]{1,3}|\\.)')"
-    r"|(?P<p>\.\.\.|->|::|\+\+|--|&&|\|\||==|!=|<=|<<=|<<|[+\-*/%&|^]=|[+\-*/%&|^<>=!~?:()\[\]{},;.@])"
+    r"|(?P<p>\.\.\.|->|::|\+\+|--|&&|\|\||==|!=|<=|<<=|<<|[+\-*/%&|^]=|[+\-*/%&|^<>=!~?:()\[\]{},;.@]))?"
 )
 PRIMITIVE = {"int", "long", "short", "byte", "char", "boolean", "float", "double"}
 KEYWORDS = PRIMITIVE | set(
@@ -23,15 +23,17 @@ ASSIGN = {"=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<="}
 
 def lex(text: str) -> Tokens:
     t, at, n = Tokens(), 0, len(text.rstrip("\x1a"))
+    scan, add = SCAN.match, t.rows.append
     while at < n:
-        m = SCAN.match(text, at)
-        if not m or m.end() == at or text.startswith("/*", at) and not m.group().startswith("/*"):
-            raise Bad(at, "unknown character, or a literal never closed")
-        kind, end = m.lastgroup, m.end()
-        if kind != "space":
-            if kind == "d" and re.match(r"[\w$]", text[end : end + 1]):
-                raise Bad(at, "bad number")
-            t.add(kind, m.group() if kind in "np" else None, at, end)
+        m = scan(text, at)
+        kind, begin, end = m.lastgroup, m.end("space"), m.end()
+        if begin >= n:
+            break
+        if end == begin or text.startswith("/*", begin):
+            raise Bad(begin, "unknown character, or a literal never closed")
+        if kind == "d" and re.match(r"[\w$]", text[end : end + 1]):
+            raise Bad(begin, "bad number")
+        add((kind, text[begin:end] if kind in "np" else None, begin, end, False))
         at = end
     return t.close(n)
 

@@ -22,76 +22,82 @@ BINARY = {
 ASSIGN = {"=", "+=", "-=", "*=", "/=", "%=", "**=", "<<=", "&=", "|=", "^=", "&&=", "||=", "??="}
 
 
+#: Space and comments, then one token. A slash that begins no comment is a sign here; whether it divides is told later.
+SCAN = re.compile(
+    rf"(?P<w>(?:[\n\r\u2028\u2029]|{SPACE.pattern}|{BLOCK.pattern})*)"
+    rf"(?:(?P<n>{NAME.pattern})|(?P<d>{NUMBER.pattern})|(?P<s>{STRING.pattern})|(?P<t>`)|(?P<p>{PUNCT.pattern}))?"
+)
+BREAKS = re.compile(r"[\n\r\u2028\u2029]")
+
+
+def template(text: str, at: int) -> tuple[list[Tokens], int]:
+    """The parts within a template that begins at ``at``, and its end."""
+    start, subs, n, at = at, [], len(text), at + 1
+    while True:
+        if at >= n:
+            raise Bad(start, "template never closed")
+        if text[at] == "\\":
+            at += 2
+        elif text[at] == "`":
+            return subs, at + 1
+        elif text.startswith("${", at):
+            sub, at = lex(text, at + 2, inner=True)
+            subs.append(sub)
+        else:
+            at += 1
+
+
 def lex(text: str, at: int = 0, inner: bool = False) -> tuple[Tokens, int]:
     """Tokens from ``at`` to the end, or to the brace that ends a template's part."""
-    t, n, nl, depth = Tokens(), len(text), False, 0
+    t, n, depth = Tokens(), len(text), 0
     if at == 0 and text.startswith("#!"):
         at = text.find("\n") if "\n" in text else n
     value = False  # whether the last token ends a value, so that a slash divides
+    rows, scan = t.rows, SCAN.match
+    add = rows.append
     while at < n:
-        c = text[at]
-        if c in "\n\r  ":
-            nl, at = True, at + 1
-            continue
-        if m := SPACE.match(text, at):
-            at = m.end()
-            continue
-        if c == "/" and text.startswith("/*", at):
-            if not (m := BLOCK.match(text, at)):
-                raise Bad(at, "comment never closed")
-            nl, at = nl or "\n" in m.group(), m.end()
-            continue
-        if c == "`":
-            start, subs, at = at, [], at + 1
-            while True:
-                if at >= n:
-                    raise Bad(start, "template never closed")
-                if text[at] == "\\":
-                    at += 2
-                elif text[at] == "`":
-                    at += 1
-                    break
-                elif text.startswith("${", at):
-                    sub, at = lex(text, at + 2, inner=True)
-                    subs.append(sub)
-                else:
-                    at += 1
-            t.sub[len(t.kind)] = subs
-            t.add("t", None, start, at, nl)
-            value, nl = True, False
-            continue
-        if m := NAME.match(text, at):
-            word = m.group()
-            t.add("n", word, at, m.end(), nl)
-            value = word not in BEFORE_VALUE or (len(t.val) > 1 and t.val[-2] in (".", "?."))
-        elif (m := NUMBER.match(text, at)) and m.end() > at:
-            if NAME.match(text, m.end()) or text[m.end() : m.end() + 1].isdigit():
-                raise Bad(at, "bad number")
-            t.add("d", None, at, m.end(), nl)
+        m = scan(text, at)
+        kind, begin, end = m.lastgroup, m.end("w"), m.end()
+        nl = begin > at and BREAKS.search(text, at, begin) is not None
+        if kind == "n":
+            word = text[begin:end]
+            add(("n", word, begin, end, nl))
+            value = word not in BEFORE_VALUE or (len(rows) > 1 and rows[-2][1] in (".", "?."))
+        elif kind == "p":
+            p = text[begin:end]
+            if p[0] == "/" and (not value or text.startswith("/*", begin)):
+                if text.startswith("/*", begin):
+                    raise Bad(begin, "comment never closed")
+                if not (m := REGEX.match(text, begin)):
+                    raise Bad(begin, "bad regular expression")
+                end = m.end()
+                add(("r", None, begin, end, nl))
+                value = True
+            else:
+                if inner and p == "{":
+                    depth += 1
+                elif inner and p == "}":
+                    if not depth:
+                        return t.close(begin), begin + 1
+                    depth -= 1
+                add(("p", p, begin, end, nl))
+                value = p in (")", "]") or (p in ("++", "--") and value)
+        elif kind == "d":
+            if end == begin or NAME.match(text, end) or text[end : end + 1].isdigit():
+                raise Bad(begin, "bad number")
+            add(("d", None, begin, end, nl))
             value = True
-        elif c in "\"'":
-            if not (m := STRING.match(text, at)):
-                raise Bad(at, "string never closed")
-            t.add("s", None, at, m.end(), nl)
+        elif kind == "s":
+            add(("s", None, begin, end, nl))
             value = True
-        elif c == "/" and not value:
-            if not (m := REGEX.match(text, at)):
-                raise Bad(at, "bad regular expression")
-            t.add("r", None, at, m.end(), nl)
+        elif kind == "t":
+            subs, end = template(text, begin)
+            t.sub[len(rows)] = subs
+            add(("t", None, begin, end, nl))
             value = True
-        elif m := PUNCT.match(text, at):
-            p = m.group()
-            if inner and p == "{":
-                depth += 1
-            if inner and p == "}":
-                if not depth:
-                    return t.close(at), at + 1
-                depth -= 1
-            t.add("p", p, at, m.end(), nl)
-            value = p in (")", "]") or (p in ("++", "--") and value)
-        else:
-            raise Bad(at, "unknown character")
-        nl, at = False, m.end()
+        elif begin < n:
+            raise Bad(begin, "string never closed" if text[begin] in "\"'" else "unknown character")
+        at = end
     if inner:
         raise Bad(at, "template never closed")
     return t.close(n), n

@@ -7,10 +7,10 @@ import re
 from .base import Bad, Cursor, Tokens
 
 SCAN = re.compile(
-    r"(?P<space>[\s​‎‏]+|//[^\n]*)|(?P<open>/\*)|(?P<raw>(?:b|c)?r(?P<hash>#*)\"[\s\S]*?\"(?P=hash))|(?P<s>[bc]?\"(?:[^\"\\]|\\[\s\S])*\")"
+    r"(?P<space>(?:[\s​‎‏]+|//[^\n]*)*)(?:(?P<open>/\*)|(?P<raw>(?:b|c)?r(?P<hash>#*)\"[\s\S]*?\"(?P=hash))|(?P<s>[bc]?\"(?:[^\"\\]|\\[\s\S])*\")"
     r"|(?P<c>b?'(?:[^'\\\n]|\\(?:[nrt\\0'\"]|x[0-9a-fA-F]{2}|u\{[0-9a-fA-F_]{1,8}\}))')|(?P<l>'[^\W\d]\w*(?!'))|(?P<n>r#[^\W\d]\w*|[^\W\d]\w*)"
     r"|(?P<d>0x[0-9a-fA-F_]+(?:[iu](?:8|16|32|64|128|size))?|0b[01_]+(?:[iu]\w+)?|0o[0-7_]+(?:[iu]\w+)?|\d[\d_]*(?:\.(?![.\w])|\.\d[\d_]*)?(?:[eE][+-]?[\d_]+)?(?:[iuf](?:8|16|32|64|128|size))?)"
-    r"|(?P<p>\.\.\.|\.\.=|\.\.|<<=|::|->|=>|==|!=|<=|&&|\|\||<<|[+\-*/%^&|]=|[+\-*/%^&|!<>=@.,;:#$?~()\[\]{}])"
+    r"|(?P<p>\.\.\.|\.\.=|\.\.|<<=|::|->|=>|==|!=|<=|&&|\|\||<<|[+\-*/%^&|]=|[+\-*/%^&|!<>=@.,;:#$?~()\[\]{}]))?"
 )
 KEYWORDS = set("as break const continue crate else enum extern false fn for if impl in let loop match mod move mut pub ref return self Self static struct super trait true type unsafe use where while async await dyn abstract become box do final macro override priv typeof unsized virtual yield try".split())
 PATH_WORDS = {"self", "Self", "super", "crate"}
@@ -23,25 +23,28 @@ def lex(text: str) -> Tokens:
     t, at, n = Tokens(), 0, len(text)
     if text.startswith("#!") and not text.startswith("#!["):
         at = text.find("\n") if "\n" in text else n
+    scan, add = SCAN.match, t.rows.append
     while at < n:
-        m = SCAN.match(text, at)
-        if not m:
-            raise Bad(at, "unknown character, or a literal never closed")
-        kind, end = m.lastgroup, m.end()
-        if m.group("raw") is not None:
-            kind = "s"
+        m = scan(text, at)
+        kind, begin, end = m.lastgroup, m.end("space"), m.end()
+        if begin >= n:
+            break
+        if end == begin:
+            raise Bad(begin, "unknown character, or a literal never closed")
         if kind == "open":
             depth = 1
             while depth:
                 e = EDGE.search(text, end)
                 if not e:
-                    raise Bad(at, "comment never closed")
+                    raise Bad(begin, "comment never closed")
                 depth += 1 if e.group() == "/*" else -1
                 end = e.end()
-        elif kind != "space":
+        elif kind in "npl":
+            add((kind, text[begin:end], begin, end, False))
+        else:
             if kind == "d" and re.match(r"[^\W\d]", text[end : end + 1]):
-                raise Bad(at, "bad number")
-            t.add(kind, m.group() if kind in "npl" else None, at, end)
+                raise Bad(begin, "bad number")
+            add(("s" if kind in ("raw", "hash") else kind, None, begin, end, False))
         at = end
     return t.close(n)
 

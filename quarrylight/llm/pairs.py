@@ -147,10 +147,15 @@ class PairTable:
         size = F.size("_items").cast("bigint")
         if not self.at["baskets"]:
             # the rows given are the new state as they stand
-            at = f"{self.path}/baskets/gen={gen}"
-            rows = changed.agg(F.sum(F.size(items).cast("bigint") * (F.size(items) - 1) / 2)).first()[0] or 0
-            self._fit(int(rows))
-            self._replace("baskets", given.filter(F.size("_items") > 0), None)
+            seen = Observation()
+            at = f"{self.path}/incoming/gen={gen}"
+            given = given.filter(F.size("_items") > 0)
+            self._replace("baskets", given.observe(seen, F.sum(size * (size - 1) / 2).alias("pairs")), None)
+            if self._fit(int(seen.get["pairs"] or 0), first=True):
+                # more buckets than the fewest: once more by those
+                given = self.read("baskets")
+                given.write.mode("overwrite").parquet(at)
+                self._replace("baskets", self.spark.read.schema(self.schema["baskets"]).parquet(at), None)
             hit = set(self.at["baskets"])
         else:
             at = f"{self.path}/incoming/gen={gen}"
@@ -181,13 +186,13 @@ class PairTable:
     def _array(self) -> str:
         return f"array<{self.item_type}>"
 
-    def _fit(self, counted: int) -> bool:
+    def _fit(self, counted: int, first: bool = False) -> bool:
         """Take the number of pairs counted; whether the number of buckets changes for it."""
         self.counted = counted
         want = FEW
         while want * FULL < counted:
             want *= 2
-        if self.fixed or (self.at["baskets"] and want < 4 * self.buckets):
+        if self.fixed or (not first and want < 4 * self.buckets):
             return False
         changes, self.buckets = want != self.buckets, want
         return changes

@@ -7,7 +7,7 @@ file's current read, so a repository of any size costs no more than its rows.
 
 Defined results: of the reads with status ``read`` the newest counts, equal times go by the higher id; a current text
 that is null or blank is no case; paths without a known extension are not reported; repeated rows count once; a text
-nested deeper than the parser's stack is valid if its tokens and brackets are.
+nested deeper than the parsers follow (``too_deep``) counts as faulty, since no parse of it succeeds.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from .reads import extension, newest
 def parsed_reads(reads: DataFrame) -> DataFrame:
     """Per read of a file with a language: repo_id, path, read_at, read_id, language, state, foreign.
 
-    state: ``ok``, ``blank``, ``wrong_extension`` or ``corrupt``.
+    state: ``ok``, ``blank``, ``wrong_extension``, ``corrupt`` or ``too_deep``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,9 +42,9 @@ def parsed_reads(reads: DataFrame) -> DataFrame:
                     continue
                 other = None
                 state = "ok"
-                if grammar.fault(language, text) is not None:
+                if wrong := grammar.fault(language, text):
                     other = grammar.foreign(language, text)
-                    state = "wrong_extension" if other else "corrupt"
+                    state = "wrong_extension" if other else "too_deep" if wrong == grammar.TOO_DEEP else "corrupt"
                 states.append(state)
                 others.append(other)
             yield pa.RecordBatch.from_arrays(
@@ -65,7 +65,7 @@ def current_syntax(reads: DataFrame) -> DataFrame:
 
 def faulty_files(reads: DataFrame) -> DataFrame:
     """repo_id and path of files whose current text does not parse in their language."""
-    return current_syntax(reads).filter(F.col("state").isin("wrong_extension", "corrupt")).select("repo_id", "path")
+    return current_syntax(reads).filter(F.col("state").isin("wrong_extension", "corrupt", "too_deep")).select("repo_id", "path")
 
 
 def fault_rates(reads: DataFrame, reports: DataFrame) -> DataFrame:
@@ -80,6 +80,6 @@ def fault_rates(reads: DataFrame, reports: DataFrame) -> DataFrame:
     rows = files.join(hints, files["repo_id"].eqNullSafe(hints["_r"]) & files["path"].eqNullSafe(hints["_p"]), "left")
     bad, said = F.col("state") != "ok", F.coalesce(F.col("_hint"), F.lit(False))
     return rows.groupBy("repo_id", "language").agg(
-        F.count(F.lit(1)).alias("files"), F.count_if(bad).alias("faulty"), F.count_if(F.col("state") == "wrong_extension").alias("wrong_extension"), F.count_if(F.col("state") == "corrupt").alias("corrupt"),
+        F.count(F.lit(1)).alias("files"), F.count_if(bad).alias("faulty"), F.count_if(F.col("state") == "wrong_extension").alias("wrong_extension"), F.count_if(F.col("state") == "corrupt").alias("corrupt"), F.count_if(F.col("state") == "too_deep").alias("too_deep"),
         F.round(F.count_if(bad) / F.count(F.lit(1)), 6).alias("rate"), F.count_if(said).alias("hinted"), F.count_if(said & bad).alias("hinted_faulty"),
     )

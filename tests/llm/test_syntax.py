@@ -63,6 +63,21 @@ def test_deep_nesting_is_no_fault():
     assert G.fault("javascript", f"x = {deep}") is None
 
 
+def test_faults_in_deep_nesting_are_found():
+    for language, text in (
+        ("javascript", "x = " + "(" * 30_000 + "1 +* 2" + ")" * 30_000), ("python", "x = " + "-" * 100_000 + "1 1 1"), ("rust", "fn f() { let x = " + "(" * 2_000 + "1 + / 2" + ")" * 2_000 + "; }"),
+        ("go", "package a\nvar x = " + "(" * 2_000 + "1 +* " + ")" * 2_000 + "\n"), ("java", "class A { int x = " + "(" * 2_000 + "1 +* 2" + ")" * 2_000 + "; }"),
+    ):
+        assert G.fault(language, text) not in (None, G.TOO_DEEP), language
+    assert G.fault("python", "x = " + "-" * 100_000 + "1") is None
+
+
+def test_what_no_parser_follows_is_no_success(monkeypatch):
+    monkeypatch.setattr(G, "MOST_FRAMES", 9_000)
+    assert G.fault("javascript", "x = " + "(" * 30_000 + "1" + ")" * 30_000) == G.TOO_DEEP
+    assert G.foreign("python", "x = " + "(" * 30_000 + "1" + ")" * 30_000) is None
+
+
 def test_foreign():
     assert G.foreign("javascript", GOOD["typescript"][0]) == "typescript"
     assert G.foreign("python", GOOD["go"][1]) == "go"
