@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranks import first_rows
 from ..session import map_arrow, work_path
 from .reads import extension, newest
 
@@ -43,21 +44,32 @@ OVERSIZED = 1_000_000
 SHARE, LEAST, SHARED, FIRST, LINE = 0.6, 8, 12, 32, 8
 
 COMMENT = re.compile(r"^\s*(?://+!?|#+!?|/\*+!?|\*+|--|;+|<!--|\"\"\"|''')\s*(.*?)\s*(?:\*+/|-->|\"\"\"|''')?\s*$")
+#: What makes files: a word with ``gen``, ``compiler`` and the like in it, or a name with a version.
+MAKER = r"(?:the )?(?:[\w.@/-]*(?:gen|codegen|generator|compiler|protoc|bindings?|stringer|builder|transpiler|bundler)[\w.@/-]*|[\w.@/-]+ v?\d+\.\d[\w.]*)"
 GENERATED_HEAD = re.compile(
-    r"code generated (?:by|from)\b|^@generated\b|@generated (?:by|from)\b|\bauto-?\s?generated\b|automatically generated|^generated (?:by|from|with|using)\b|this (?:file|code|module|source)\b.{0,40}\b(?:generated|produced automatically|created automatically|machine.made)|machine.(?:made|generated)"
-    r"|do not (?:edit|modify)(?: by hand| manually|\.|!|$)|(?:manual )?(?:changes|edits) (?:are|will be) (?:lost|overwritten)|edit the source, then rebuild|generated by .{1,60}(?:compiler|generator|do not edit)",
+    r"code generated (?:by|from)\b|^@generated\b|@generated (?:by|from)\b|\bauto-?\s?generated\b|automatically generated|^generated (?:by|from|with|using)\b|this (?:file|code|module|source)\b.{0,40}\b(?:generated|produced automatically|created automatically|machine.made)"
+    r"|\b(?:machine|tool)[ -](?:made|generated|produced|written|created|emitted)\b|do not (?:edit|modify)(?: by hand| manually|\.|!|$)|(?:never|don'?t|do not) hand[ -]?(?:edit|modify)|(?:manual )?(?:changes|edits) (?:are|will be) (?:lost|overwritten)"
+    rf"|generated by .{{1,60}}(?:compiler|generator|do not edit)|\b(?:produced|emitted|created|written|made|output) (?:automatically )?(?:by|with|using) {MAKER}(?![\w.])|\bre-?generate (?:this|it|the file|with|by|using)\b|\bre-?generate[,;] ",
     re.IGNORECASE,
 )
-GENERATED_NOT = re.compile(r"header of generated|generated files \(|\bnot generated\b|is added below", re.IGNORECASE)
+GENERATED_NOT = re.compile(r"\bnot (?:auto-?|machine[ -])?(?:generated|produced|made)\b", re.IGNORECASE)
 #: Statements that speak of a whole file wherever they stand.
 GENERATED_FILE = re.compile(
     r"code generated (?:by|from)\b|^@generated\b|^<auto-?generated\b|^auto-?\s?generated (?:file\b|code\b|by\b|from\b|on build\b)|^generated (?:by|from|with|using)\b.{1,80}(?:compiler|generator|do not (?:edit|modify)|source:)"
     r"|^this (?:file|module|source)\b.{0,40}\b(?:generated|produced automatically|created automatically|machine.made)|^machine.(?:made|generated) (?:by|from)\b",
     re.IGNORECASE,
 )
-VENDORED_HEAD = re.compile(r"\b(?:vendored|copied|taken|imported|forked)(?: \w+)? from\b.*\d|third.party code|^origin:.*\b(?:release|version|v?\d+\.\d+)|see upstream for", re.IGNORECASE)
+VENDORED_HEAD = re.compile(
+    r"\b(?:vendored|copied|taken|imported|forked)(?: \w+)? from\b.*\d|third.party code|^origin:.*\b(?:release|version|v?\d+\.\d+)"
+    # a library's banner: its name and version, with a licence, a site or what it is
+    r"|^(?:@(?:license|preserve)\s+)?[a-z@][\w .@/-]{1,60}?\s+v?\d+\.\d+(?:\.\d+)?\b.*(?:licen[cs]ed?\b|\(c\)|copyright|https?://)|^(?:@(?:license|preserve)\s+)?[\w .@/-]{2,60}\b(?:library|framework|plugin|polyfill|toolkit),? v?\d+\.\d+",
+    re.IGNORECASE,
+)
 #: Of these every statement of origin holds one; a text without it has none.
-TOLD = ("generated", "machine", " automatically", "do not edit", "do not modify", "changes are", "changes will be", "edits are", "edits will be", "edit the source", "vendored", "copied", "taken", "imported", "forked", "third", "origin:", "upstream")
+TOLD = (
+    "generate", "machine", "tool-", "tool ", "produced", "emitted", "created", "written", "made", "output", " automatically", "do not edit", "do not modify", "hand", "changes are", "changes will be", "edits are", "edits will be", "vendored", "copied", "taken", "imported", "forked", "third", "origin:",
+    "license", "licence", "(c)", "copyright", "http", "library", "framework", "plugin", "polyfill", "toolkit",
+)
 #: Lines that stand before the code proper.
 PROLOGUE = re.compile(r"#!|[\"']use \w+[\"'];?$|<\?php|(?:package|import|from|use|using|namespace|mod|extern crate|require|#include|#pragma|#ifndef|#define|#!?\[)\b|[()]$|\"[\w./-]+\"$")
 OPENED_RAW = re.compile(r'\br#"(?!.*"#)')
@@ -210,7 +222,7 @@ def copied_classes(rows: DataFrame, share: float = SHARE, least: int = LEAST, sh
     # a container must share one of the n - ceil(share * n) + 1 rarest lines; n - s of the lines occur nowhere else
     need = F.ceil(F.lit(share) * F.col("n"))
     alone = alone.filter((F.col("s") >= need) & (F.col("s") >= shared_least))
-    probes = alone.select(F.col("cls").alias("a"), F.col("lo").alias("a_repo"), F.explode(F.slice("by", F.lit(1), (F.col("s") - need + 1).cast("int"))).alias("_p")).select("a", "a_repo", F.col("_p.df").alias("df"), F.col("_p.h").alias("h"))
+    probes = alone.select(F.col("cls").alias("a"), F.col("lo").alias("a_repo"), need.alias("a_need"), F.explode(F.slice("by", F.lit(1), (F.col("s") - need + 1).cast("int"))).alias("_p")).select("a", "a_repo", "a_need", F.col("_p.df").alias("df"), F.col("_p.h").alias("h"))
     at = work_path(spark, "probes")
     probes.write.parquet(at)
     probes = spark.read.parquet(at)
@@ -226,14 +238,15 @@ def copied_classes(rows: DataFrame, share: float = SHARE, least: int = LEAST, sh
     other = (F.col("lo") != F.col("a_repo")) | (F.col("hi") != F.col("a_repo"))
     # the first classes of a line in the order of their hash, per part of the line's classes, so that no task holds a hot line
     part = F.pmod(F.col("cls"), F.lit(16))
-    few = wanted.withColumn("_part", part).groupBy("h", "_part").agg(F.expr(f"slice(array_sort(collect_set(struct(cls, lo, hi))), 1, {first})").alias("_some"))
-    few = few.select("h", F.inline("_some"))
-    found = verified(probes.join(few, "h").filter((F.col("a") != F.col("cls")) & other).select("a", F.col("cls").alias("b")))
+    few = first_rows(wanted.withColumn("_part", part), ["h", "_part"], [F.asc("cls")], first).select("h", "cls", "lo", "hi", "n")
+    # a container is as long as what it must share
+    fits = (F.col("a") != F.col("cls")) & other & (F.col("n") >= F.col("a_need"))
+    found = verified(probes.join(few, "h").filter(fits).select("a", F.col("cls").alias("b")))
     at = work_path(spark, "contained")
     found.write.parquet(at)
     found = spark.read.parquet(at)
     rest = probes.filter(F.col("df") > first).join(found.select(F.col("cls").alias("a")), "a", "left_anti")
-    late = verified(rest.join(index, "h").filter((F.col("a") != F.col("cls")) & other).select("a", F.col("cls").alias("b")))
+    late = verified(rest.join(index, "h").filter(fits).select("a", F.col("cls").alias("b")))
     return twins.unionByName(found).unionByName(late).distinct()
 
 

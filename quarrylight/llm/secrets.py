@@ -8,6 +8,9 @@ absolute place, so a chunk's end cuts nothing; spans are kept once by their abso
 A credential is a list of pieces (a literal may be split); its line is that of the first piece. Stand-ins, masks,
 references to the environment, hashes, ids, public keys and certificates are left alone.
 
+A value of lower-case letters that read as words is taken for a stand-in, except a passphrase of several words: nothing
+in the text tells ``"summerbreeze"`` from a label.
+
 Defined results: null and empty texts hold nothing; repeated reads are each reported; lines are split at ``\\n`` alone.
 """
 
@@ -32,7 +35,7 @@ CODE = ("py", "ts", "js", "rs", "go", "java", "tsx", "jsx", "mjs", "kt", "c", "c
 #: Token formats by head: what follows and includes the head.
 TOKENS = {
     "ghp_": r"ghp_[A-Za-z0-9]{20,}", "gho_": r"gho_[A-Za-z0-9]{20,}", "ghu_": r"ghu_[A-Za-z0-9]{20,}", "ghs_": r"ghs_[A-Za-z0-9]{20,}", "ghr_": r"ghr_[A-Za-z0-9]{20,}", "github_pat_": r"github_pat_\w{22,}",
-    "akia": r"AKIA[A-Z0-9]{16}(?![A-Za-z0-9])", "asia": r"ASIA[A-Z0-9]{16}(?![A-Za-z0-9])", "xox": r"xox[abeoprs]-[A-Za-z0-9-]{10,}", "sk_live_": r"sk_live_[A-Za-z0-9]{16,}", "sk_test_": r"sk_test_[A-Za-z0-9]{16,}", "rk_live_": r"rk_live_[A-Za-z0-9]{16,}", "rk_test_": r"rk_test_[A-Za-z0-9]{16,}",
+    "akia": r"AKIA[A-Z0-9]{16}(?![A-Za-z0-9])", "asia": r"ASIA[A-Z0-9]{16}(?![A-Za-z0-9])", "xox": r"xox[abeoprs]-[A-Za-z0-9-]{10,}", "hooks.slack.com/services/": r"hooks\.slack\.com/services/T\w{6,}/B\w{6,}/[A-Za-z0-9]{16,}", "/api/webhooks/": r"/api/webhooks/\d{6,}/[\w-]{30,}", "sk_live_": r"sk_live_[A-Za-z0-9]{16,}", "sk_test_": r"sk_test_[A-Za-z0-9]{16,}", "rk_live_": r"rk_live_[A-Za-z0-9]{16,}", "rk_test_": r"rk_test_[A-Za-z0-9]{16,}",
     "_live_": r"[a-z]{2,8}_live_[A-Za-z0-9]{16,}", "aiza": r"AIza[\w-]{35}", "glpat-": r"glpat-[\w-]{20,}", "npm_": r"npm_[A-Za-z0-9]{36}", "sg.": r"SG\.[\w-]{16,}\.[\w-]{16,}", "eyj": r"eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,}", "sk-": r"sk-(?:proj-|ant-)?[A-Za-z0-9_-]{32,}", "hf_": r"hf_[A-Za-z0-9]{30,}", "pypi-": r"pypi-[\w-]{50,}",
 }
 ARMOR = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
@@ -45,6 +48,12 @@ ARMOR_RUN = re.compile(r"[A-Za-z0-9+/]{16,}")
 URL = re.compile(r"://[^\s/:@\"'`<>]*:([^\s/@\"'`]+)@[\w\[${<]")
 BASIC = re.compile(r"basic[ \t]+([A-Za-z0-9+/_-]{8,}={0,2})", re.IGNORECASE)
 BEARER = re.compile(r"bearer[ \t]+([A-Za-z0-9._~+/-]{8,}=*)", re.IGNORECASE)
+SHELL_LOGIN = re.compile(r"(?:-u[ \t]*[\"']?[\w.@-]+[\"']?[ \t]+-p(?=\S)|sshpass[ \t]+-p[ \t]*)[\"']?([^\s\"']{4,})")
+SETTER_CALL = re.compile(r"\(\s*(?=[\"'`])")
+SETTER = re.compile(r"(?:\A|[.:>])(?:set|with|put)_?\w*\Z", re.IGNORECASE)
+ELEMENT = re.compile(r"[^\S\n]*([^<>\s\"'&][^<>\s\"']*)[^\S\n]*</")
+#: Words that prose has and a chosen phrase hasn't.
+PROSE = re.compile(r"\b(?:the|an?|your?|is|are|of|must|for|to|enter|please|be|not|with|from|or|and|this|that|invalid|wrong|missing|required|phrase|passphrase|password)\b", re.IGNORECASE)
 CURL_USER = re.compile(r"-u[ \t]+[\"']?[\w.@-]+:([^\s\"']{4,})")
 _LIT = r"(?:\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`)"
 CALL = re.compile(rf"\w*\(\s*{_LIT}\s*,\s*{_LIT}\s*,\s*({_LIT})\s*[,)]")
@@ -56,13 +65,15 @@ LAST = {
     "passe": ("de",), "key": ("api", "signing", "service", "access", "secret", "private", "account", "encryption", "auth", "client", "master", "shared", "deploy", "admin", "storage"), "api": ("kluc",), "authtoken": None, "accesskey": None, "secretkey": None,
 }
 WORD = re.compile(r"[A-ZÑ]+(?![a-zñ])|[A-ZÑ]?[a-zñ]+")
-NAME_BACK, NAME_ON = re.compile(r"[\w.$\-]*\Z"), re.compile(r"[\w\-]*(?:\.[A-Za-z_][\w\-]*)*")
+NAME_ON = re.compile(r"[\w\-]*(?:\.[A-Za-z_][\w\-]*)*")
 #: Between a name and its value: a closing quote, a type, then the sign.
 LINK = re.compile(
     r"\\?[\"'`]?\]?[ \t]*(?:(?::[ \t]*(?:&[ \t]*)?(?:'\w+[ \t]+)?[A-Za-z][\w<>\[\]| .]*?[ \t]*|[ \t]+(?:string|\[\]byte)[ \t]*)=(?=\s*(?:[\"'`]|concat!|String::|[bru]#?[\"']))|(?<![=!<>:])(?:=>|:=|=|:)(?![=:]))"
 )
 SPACE_LINK = re.compile(r"[ \t]+(?=[^\s=:])")
-BEFORE_LITERAL = re.compile(r"(?:[ \t]|\\\r?\n|\r?\n|\(|concat!\(|String::from\(|&|b(?=[\"'])|r(?=[\"'])|u(?=[\"'])|r#(?=\"))*")
+#: Calls that give back what a literal stands for.
+DECODED_BY = r"(?:[A-Za-z_][\w.:]*(?:\(\))?[.:]+)?(?:b64decode|atob|decode(?:String|_string)?|Buffer\.from|from_base64|unhexlify|fromhex)\(\s*"
+BEFORE_LITERAL = re.compile(rf"(?:[ \t]*{DECODED_BY})?" r"(?:[ \t]|\\\r?\n|\r?\n|\(|concat!\(|String::from\(|&|b(?=[\"'])|r(?=[\"'])|u(?=[\"'])|r#(?=\"))*")
 LITERAL = re.compile(r"\\\"([^\"\\\n]*)\\\"|\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`")
 BETWEEN = re.compile(r"[ \t]*(?:\\?\r?\n)?[ \t]*[+.]?[ \t]*(?:\r?\n)?[ \t]*")
 BETWEEN_ARGS = re.compile(r"\s*,\s*")
@@ -116,6 +127,12 @@ def secret_like(value: str) -> bool:
     return not (NAME_LIKE.fullmatch(v) and natural(v)) and not re.fullmatch(r"v?\d+(?:[.:,]\d+)+", v) and not re.fullmatch(r"\d{1,5}(?:ms|s|m|h|d|kb|mb|gb)?", v, re.IGNORECASE)
 
 
+def chosen_phrase(value: str) -> bool:
+    """Whether a literal of several words reads as a passphrase, not as prose about one."""
+    parts = value.split()
+    return len(parts) >= 4 and len(set(parts)) >= 4 and all(re.fullmatch(r"[\w-]{3,}", w) for w in parts) and not PROSE.search(value)
+
+
 def armored(body: str) -> int:
     """Base64 characters of an armored body; of commented lines only those in long runs, since the rest can be prose."""
     led = sum(len(run) for line in LED_LINE.findall(body) for run in ARMOR_RUN.findall(line))
@@ -150,7 +167,8 @@ def automaton():
     a.add_word("://", ("://", "url"))
     a.add_word("basic", ("basic", "basic"))
     a.add_word("bearer", ("bearer", "bearer"))
-    a.add_word(" -u ", (" -u ", "curl"))
+    a.add_word(" -u", (" -u", "curl"))
+    a.add_word("sshpass", ("sshpass", "shell"))
     for call in CALLS:
         a.add_word(call, (call, "call"))
     for word in LAST:
@@ -196,11 +214,18 @@ def _pieces(text: str, at: int, joined: bool) -> list[tuple[int, int]]:
 
 def _named(text: str, start: int, word: str, code: bool) -> tuple[int, list[tuple[int, int]]] | None:
     """The value of the credential's name around a hit: the name's start, and the pieces."""
-    back = NAME_BACK.search(text, max(0, start - 80), start).start()
+    back = start
+    while back and (text[back - 1].isalnum() or text[back - 1] in "_.$-"):
+        back -= 1
     on = NAME_ON.match(text, start + len(word)).end()
     name = text[back:on]
-    if not credential_name(name.rstrip("0123456789_")) or len(name) > 100:
+    if not credential_name(name.rstrip("0123456789_")):
         return None
+    if text[back - 1 : back] == "<" and text[on : on + 1] == ">":
+        m = ELEMENT.match(text, on + 1)
+        return (back, [m.span(1)]) if m else None
+    if SETTER.search(name) and (m := SETTER_CALL.match(text, on)) and (pieces := _pieces(text, m.end(), False)):
+        return back, pieces
     link = LINK.match(text, on)
     option = name.startswith("--")
     if link:
@@ -275,7 +300,10 @@ def found(text: str | None, code: bool = False) -> list[tuple[str, list[tuple[in
             m = BEARER.match(text, start)
             if m and len(m.group(1)) >= 12 and secret_like(m.group(1)):
                 add("bearer", [m.span(1)])
-        elif kind == "curl":
+        elif kind in ("curl", "shell"):
+            m = SHELL_LOGIN.match(text, start + (kind == "curl"))
+            if m and secret_like(m.group(1)):
+                add("login", [m.span(1)])
             m = CURL_USER.match(text, start + 1)
             if m and not stand_in(m.group(1)):
                 add("login", [m.span(1)])
@@ -290,7 +318,7 @@ def found(text: str | None, code: bool = False) -> list[tuple[str, list[tuple[in
                 value = "".join(text[s:e] for s, e in got[1])
                 if ARMOR.search(value) or value.startswith("-----BEGIN") or re.match(r"(?:Basic|Bearer) ", value) or "://" in value:
                     continue
-                if secret_like(value):
+                if secret_like(value) or (chosen_phrase(value) and "passphrase" in name_words(text[got[0] : NAME_ON.match(text, start + len(word)).end()])[-1:]):
                     add("named", got[1])
     kept: list[tuple[str, list[tuple[int, int]]]] = []
     last = -1

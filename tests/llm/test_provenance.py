@@ -92,3 +92,12 @@ def test_containment_against_brute_force(spark):
 
         known = {r.c: tuple(r.lines) for r in df.select(F.xxhash64("lines").alias("c"), "lines").collect()}
         assert {known[c] for c in got} == want
+
+
+def test_statements_in_other_words():
+    body = "\nfunction f(a) {\n  return a + 1;\n}\n"
+    for head, kind in (
+        ("// machine produced by swagger-codegen", "generated"), ("// regenerate, never hand edit", "generated"), ("// created with stringer", "generated"), ("// Produced by bison 3.8", "generated"), ("/*! jQuery JavaScript Library v3.6.0 */", "vendored"), ("/* lodash 4.17.21 | MIT License */", "vendored"),
+        ("// created by Jane Doe", None), ("// written with care, not generated by the compiler", None), ("// never edit vendored copies here, patch them upstream", None), ("// the header of generated files (@generated) is added below", None), ("// Licensed to the project under one licence", None),
+    ):
+        assert V.text_kind(head + body) == kind, head

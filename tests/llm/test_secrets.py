@@ -98,3 +98,16 @@ def test_table(spark, reads):
     out = {r.read_id: (r.text, r.masks) for r in S.redacted(df).collect()}
     assert out[2] == ("k: v\r\nsecret: [REDACTED:named]\r\n", 1) and out[4] == (None, 0) and out[6] == ("t: a", 0)
     assert S.credential_lines(df.limit(0)).count() == 0
+
+
+def test_forms_beyond_assignments():
+    value = "Zk3v9QpLm2Xw"
+    for text, secret in (
+        (f"<password>{value}</password>", value), (f'cfg.setPassword("{value}")', value), (f'b.withToken("{value}");', value), (f'pw = base64.b64decode("{base64.b64encode(b"Qw9-zz71-kk02").decode()}")', base64.b64encode(b"Qw9-zz71-kk02").decode()),
+        ('passphrase = "correct horse battery staple"', "correct horse battery staple"), (f"mysql -u root -p{value} db", value), (f"sshpass -p {value} ssh h", value), ("u = 'https://hooks.slack.com/services/T02AB34CD/B07XY98ZW/abCdEf123456GhIjKl789012'", "hooks.slack.com/services/T02AB34CD/B07XY98ZW/abCdEf123456GhIjKl789012"),
+    ):
+        got = S.found(text)
+        assert [[text[s:e] for s, e in p] for _, p in got] == [[secret]], text
+        assert secret not in S.masked(text, got)
+    for text in ("<password>${DB_PASSWORD}</password>", "<token>your-token</token>", "cfg.setPassword(password)", 'passphrase = "enter the passphrase of your key"', f'String getPassword("{value}")', "mysql -u root -p db", "docker run -u 1000 -p8080:80 x"):
+        assert S.found(text) == [], text
