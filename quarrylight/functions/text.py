@@ -66,6 +66,36 @@ def percent_encoded(text: Column) -> Column:
     return out
 
 
+def percent_decoded(text: Column) -> Column:
+    """What ``percent_encoded`` was made from: a plus sign is itself."""
+    return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+
+
+def shell_quoted(text: Column) -> Column:
+    """A word of a shell: as it is if it has safe characters only, else in single quotes."""
+    return F.when(text.rlike("^[A-Za-z0-9_./@%+=:,-]+$"), text).otherwise(F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("'\\''")), F.lit("'")))
+
+
+def name_uuid(name: Column) -> Column:
+    """The version 5 UUID of a name in the URL name space, from the built-in SHA-1."""
+    h = F.sha1(F.concat(F.unhex(F.lit("6ba7b8119dad11d180b400c04fd430c8")), F.encode(name, "UTF-8")))
+    high = F.substring(F.hex((F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3)).bitwiseOR(8)), -1, 1)
+    return F.lower(F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), high, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12)))
+
+
+def line_range(uri: Column) -> Column:
+    """first and last of a ``#Lfirst-Llast`` or ``#Lfirst`` mark, null without one or if it is none."""
+    first, last = F.regexp_extract(uri, r"#L(\d+)(?:-L?\d+)?$", 1), F.regexp_extract(uri, r"#L\d+-L?(\d+)$", 1)
+    a = F.when(first != "", first.cast("int"))
+    b = F.when(last != "", last.cast("int")).otherwise(a)
+    return F.when((a >= 1) & (b >= a), F.struct(a.alias("first"), b.alias("last")))
+
+
+def lines_between(text: Column, first: Column, last: Column) -> Column:
+    """Lines ``first`` to ``last`` of a text, counted from 1."""
+    return F.array_join(F.slice(F.split(text, "\n"), first, last - first + 1), "\n")
+
+
 def information(text: Column) -> Column:
     """1 for each word with weight, 2 if it looks like an identifier; a task below 2 says too little."""
     tokens = F.filter(F.split(F.coalesce(text, F.lit("")), "[^A-Za-z0-9_]+"), lambda x: (F.length(x) >= 2) & ~x.rlike("^[0-9]+$") & (weight(ascii_lower(x)) > 0))

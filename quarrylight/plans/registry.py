@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import code, packs, quality, ranking
+from . import code, navigation, packs, quality, ranking, store
 
-MODULES = (ranking, code, packs, quality)
+MODULES = (ranking, code, packs, quality, navigation, store)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
