@@ -10,7 +10,11 @@ against their mean, spread and quantiles within the document's language, which m
 labels, and the level is the rounded least-squares fit (a cubic) of the annotators' mean, over all languages and drawn
 from there to each language's own labels. The fit needs one aggregate row of sums a language.
 
-The rank table is broadcast up to ``BROADCAST`` words; a larger vocabulary is joined instead, with the same result.
+The rank table is written once. Its ``KNOWN`` first words a language, a table of bounded size, are broadcast and cover
+almost all documents; a document whose share lies beyond them goes on with its words, which meet the whole table in a
+join on (language, word): the same measure, whatever the vocabulary's size.
+
+Languages are told by function words of four (``FUNCTION_WORDS``); texts of all others form one group with one vocabulary.
 
 Defined results: headings, fenced and bare code, tables and logs are left out; documents with fewer than ``LEAST`` words
 of prose, null and empty texts get no row; labels that are null or outside 1-5 are ignored, repeated ones of an annotator
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ..session import map_arrow, work_path
 
-LEAST, SHARE, SHORT, BROADCAST, STEPS, DRAW = 50, 0.7, 12, 300_000, 200, 10.0
+LEAST, SHARE, SHORT, KNOWN, STEPS, DRAW = 50, 0.7, 12, 60_000, 200, 10.0
 
 #: Function words that tell a language (fixed values).
 FUNCTION_WORDS = {
@@ -149,38 +153,44 @@ def word_ranks(found: DataFrame) -> DataFrame:
     return words.join(steps, ["lang", "s", "n"]).select("lang", "word", "rank")
 
 
-def coverage(found: DataFrame, ranks: DataFrame, share: float = SHARE, broadcast: int = BROADCAST) -> DataFrame:
+def coverage(found: DataFrame, ranks: DataFrame, share: float = SHARE, known: int = KNOWN) -> DataFrame:
     """doc_id, lang, x (log of the coverage rank), y (log of words per sentence)."""
     spark = found.sparkSession
-    size = ranks.limit(broadcast + 1).count()
-    y = F.log(F.col("words") / F.col("sentences")).alias("y")
-    if size > broadcast:
-        long = found.select("doc_id", "lang", "words", "sentences", F.inline(F.arrays_zip("word", "n")))
-        by = long.join(ranks, ["lang", "word"]).groupBy("doc_id", "lang", "words", "sentences").agg(F.array_sort(F.collect_list(F.struct("rank", "n"))).alias("r"))
-        need = F.ceil(F.lit(share) * F.col("words"))
-        ends = F.aggregate("r", F.struct(F.lit(0).cast("bigint").alias("c"), F.lit(0).cast("bigint").alias("at")), lambda a, e: F.struct((a["c"] + e["n"]).alias("c"), F.when(a["c"] < need, e["rank"]).otherwise(a["at"]).alias("at")))
-        return by.select("doc_id", "lang", F.log(ends["at"]).alias("x"), y)
+    at = work_path(spark, "ranks")
+    ranks.write.parquet(at)
+    ranks = spark.read.parquet(at)
     table: dict[str, dict[str, int]] = {}
-    for r in ranks.toLocalIterator():
+    # at most ``known`` words of each language have such a rank
+    for r in ranks.filter(F.col("rank") <= known).toLocalIterator():
         table.setdefault(r[0], {})[r[1]] = r[2]
     sent = spark.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
+            out, rest, times = [], [], []
             for lang, total, words, counts in zip(*(b.column(i).to_pylist() for i in (1, 2, 4, 5))):
-                known = sent.value[lang]
-                need, at = -(-share * total // 1), 0
-                seen = 0
-                for at, n in sorted(zip(map(known.__getitem__, words), counts)):
+                told = sent.value.get(lang, {}).get
+                need, seen, end = -(-share * total // 1), 0, None
+                for at_, n in sorted((k, n) for w, n in zip(words, counts) if (k := told(w)) is not None):
                     seen += n
                     if seen >= need:
+                        end = at_
                         break
-                out.append(at)
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(out, pa.int64())], names=["doc_id", "lang", "words", "sentences", "at"])
+                out.append(end)
+                rest.append(words if end is None else None)
+                times.append(counts if end is None else None)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(out, pa.int64()), pa.array(rest, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int32()))], names=["doc_id", "lang", "words", "sentences", "at", "word", "n"])
 
-    rows = map_arrow(found.select("doc_id", "lang", "words", "sentences", "word", "n"), run, "doc_id bigint, lang string, words bigint, sentences bigint, at bigint")
-    return rows.select("doc_id", "lang", F.log("at").alias("x"), y)
+    at = work_path(spark, "covered")
+    map_arrow(found.select("doc_id", "lang", "words", "sentences", "word", "n"), run, "doc_id bigint, lang string, words bigint, sentences bigint, at bigint, word array<string>, n array<int>").write.parquet(at)
+    rows = spark.read.parquet(at)
+    keys = ["doc_id", "lang", "words", "sentences"]
+    long = rows.filter("at is null").select(*keys, F.monotonically_increasing_id().alias("_h"), F.inline(F.arrays_zip("word", "n")))
+    by = long.join(ranks, ["lang", "word"]).groupBy(*keys, "_h").agg(F.array_sort(F.collect_list(F.struct("rank", "n"))).alias("r"))
+    need = F.ceil(F.lit(share) * F.col("words"))
+    ends = F.aggregate("r", F.struct(F.lit(0).cast("bigint").alias("c"), F.lit(0).cast("bigint").alias("at")), lambda a, e: F.struct((a["c"] + e["n"]).alias("c"), F.when(a["c"] < need, e["rank"]).otherwise(a["at"]).alias("at")))
+    both = rows.filter("at is not null").select(*keys, "at").unionByName(by.select(*keys, ends["at"].alias("at")))
+    return both.select("doc_id", "lang", F.log("at").alias("x"), F.log(F.col("words") / F.col("sentences")).alias("y"))
 
 
 def _quantile(value: Column, steps: Column) -> Column:

@@ -55,7 +55,8 @@ def test_joined_vocabulary_gives_the_same(spark):
     found = R.measures(d)
     ranks = R.word_ranks(found)
     a = {(r.doc_id, round(r.x, 9), round(r.y, 9)) for r in R.coverage(found, ranks).collect()}
-    assert a == {(r.doc_id, round(r.x, 9), round(r.y, 9)) for r in R.coverage(found, ranks, broadcast=1).collect()}
+    for k in (0, 1, 5, 40):
+        assert a == {(r.doc_id, round(r.x, 9), round(r.y, 9)) for r in R.coverage(found, ranks, known=k).collect()}
     assert len(a) == 3
 
 
