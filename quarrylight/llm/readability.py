@@ -185,7 +185,7 @@ def coverage(found: DataFrame, ranks: DataFrame, share: float = SHARE, known: in
     map_arrow(found.select("doc_id", "lang", "words", "sentences", "word", "n"), run, "doc_id bigint, lang string, words bigint, sentences bigint, at bigint, word array<string>, n array<int>").write.parquet(at)
     rows = spark.read.parquet(at)
     keys = ["doc_id", "lang", "words", "sentences"]
-    long = rows.filter("at is null").select(*keys, F.monotonically_increasing_id().alias("_h"), F.inline(F.arrays_zip("word", "n")))
+    long = rows.filter("at is null").withColumn("_h", F.monotonically_increasing_id()).select(*keys, "_h", F.inline(F.arrays_zip("word", "n")))
     by = long.join(ranks, ["lang", "word"]).groupBy(*keys, "_h").agg(F.array_sort(F.collect_list(F.struct("rank", "n"))).alias("r"))
     need = F.ceil(F.lit(share) * F.col("words"))
     ends = F.aggregate("r", F.struct(F.lit(0).cast("bigint").alias("c"), F.lit(0).cast("bigint").alias("at")), lambda a, e: F.struct((a["c"] + e["n"]).alias("c"), F.when(a["c"] < need, e["rank"]).otherwise(a["at"]).alias("at")))
