@@ -43,7 +43,7 @@ def readme_order(path: Column) -> Column:
 
 def edge_order(kind: Column) -> Column:
     """The family of an edge's label: precise, imports, others, re-exports."""
-    return F.when(kind.startswith("precision:"), 0).when(kind == "imports", 1).when(kind == "python_reexport", 3).otherwise(2)
+    return F.when(kind.startswith("precision"), 0).when(kind.isin("import", "imports"), 1).when(kind.isin("reexport", "python_reexport"), 3).otherwise(2)
 
 
 def limits(budget: int) -> dict[str, int]:

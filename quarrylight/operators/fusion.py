@@ -32,7 +32,8 @@ def fused(signals: DataFrame, keys: list[str]) -> DataFrame:
     best = rows.groupBy(*keys, "signal").agg(F.sum("_w").alias("_sum"), F.max("_w").alias("_best"), F.min("lexical_rank").alias("_rank"))
     out = best.groupBy(*keys).agg(
         F.round(F.sum("_sum"), 6).alias("rank_score"), F.min("_rank").alias("lexical_rank"), F.array_join(F.array_sort(F.collect_set("signal")), ",").alias("signals"),
-        *[F.round(F.max(F.when(F.col("signal") == s, F.col("_best"))), 6).alias(f"{s}_score") for s in ("lexical", "dependency", "co_change")],
+        # a lexical score is that of the hits or of their expansion, whichever is higher
+        *[F.round(F.max(F.when(F.col("signal").isin(*of), F.col("_best"))), 6).alias(f"{s}_score") for s, of in (("lexical", ("lexical", "lexical_expansion")), ("dependency", ("dependency",)), ("co_change", ("co_change",)))],
     )
     return out.withColumn("confidence", F.greatest(F.lit(0.15), F.least(F.lit(0.98), F.col("rank_score"))))
 

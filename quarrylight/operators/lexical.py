@@ -11,7 +11,7 @@ from ..functions.paths import ascii_lower, explicit_paths
 # What a role adds, what an archive leaves, and the fields' boosts.
 ROLE_BONUS = {"source": 1.0, "test": 0.7, "config": 0.4, "schema": 0.4, "docs": 0.4}
 ARCHIVE = 0.35
-BOOSTS = {"path": 3.5, "file_name": 4.0, "content": 1.0}
+BOOSTS = {"path": 3.5, "file_name": 4.0, "symbols": 6.0, "content": 1.0, "role": 0.4, "language": 0.3}
 ARCHIVED = r"^\.planning/milestones/|^\.planning/e2e/.*\.json$"
 
 
@@ -72,29 +72,55 @@ def search(spark: SparkSession, docs: DataFrame, query: str, limit: int = 20, ti
     return exact_scores(docs, terms, explicit).orderBy(F.desc("score"), *ties).limit(max(1, limit))
 
 
+#: Parts of the kept index; a query reads those of its terms.
+INDEX_PARTS = 16
+
+
+def _fields(docs: DataFrame, key: list[str], fields: dict[str, Column]) -> DataFrame:
+    rows = docs.select(*key, F.explode(F.array(*[F.struct(F.lit(n).alias("field"), T.words(c).alias("w")) for n, c in fields.items()])).alias("f"))
+    return rows.select(*key, F.col("f.field").alias("field"), F.size("f.w").alias("len"), F.col("f.w").alias("w"))
+
+
 def postings(docs: DataFrame, key: list[str], fields: dict[str, Column]) -> DataFrame:
     """key, field, term, tf and the field's length: the inverted index as a table."""
-    rows = docs.select(*key, F.explode(F.array(*[F.struct(F.lit(n).alias("field"), T.words(c).alias("w")) for n, c in fields.items()])).alias("f"))
-    rows = rows.select(*key, "f.field", F.size("f.w").alias("len"), F.explode("f.w").alias("term"))
+    rows = _fields(docs, key, fields).select(*key, "field", "len", F.explode("w").alias("term"))
     return rows.groupBy(*key, "field", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(docs: DataFrame, key: list[str], fields: dict[str, Column], boosts: dict[str, float], terms: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """key and score by BM25, summed over fields with their boosts; ``terms`` (term, weight) is one query's.
+def write_index(docs: DataFrame, key: list[str], fields: dict[str, Column], path: str) -> None:
+    """Keep the inverted index of the documents below ``path``: postings by parts of their terms, and sizes of the fields.
 
-    Document counts and lengths are aggregates over all documents; only postings of the query's terms are shuffled.
+    Texts are cut into words once; sizes come from the same rows by an aggregate with partial results.
     """
-    sizes = docs.select(F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.size(T.words(c)).alias("len")) for n, c in fields.items()])).alias("f")).groupBy("f.field").agg(F.count(F.lit(1)).alias("docs"), F.avg("f.len").alias("mean_len"))
-    rows = docs.select(*key, F.explode(F.array(*[F.struct(F.lit(n).alias("field"), T.words(c).alias("w")) for n, c in fields.items()])).alias("f"))
-    hits = rows.select(*key, F.col("f.field").alias("field"), F.size("f.w").alias("len"), F.explode("f.w").alias("term")).join(terms.select("term", "weight"), "term")
-    hits = hits.groupBy(*key, "field", "len", "term", "weight").agg(F.count(F.lit(1)).alias("tf"))
+    part = F.pmod(F.xxhash64("term"), F.lit(INDEX_PARTS)).cast("int")
+    postings(docs, key, fields).withColumn("part", part).sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+    _fields(docs, key, fields).groupBy("field").agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("mean_len")).write.mode("overwrite").parquet(f"{path}/sizes")
+
+
+def bm25(spark: SparkSession, path: str, key: list[str], terms: DataFrame, boosts: dict[str, float] = BOOSTS, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """key and score by BM25 over a kept index, summed over fields with their boosts; ``terms`` (term, weight) is one query's.
+
+    Only the parts of the query's terms are read, and of them the row groups that can hold a term.
+    """
+    told = terms.select("term", "weight", F.pmod(F.xxhash64("term"), F.lit(INDEX_PARTS)).cast("int").alias("part")).collect()
+    rows = spark.read.parquet(f"{path}/postings")
+    rows = rows.filter(F.col("part").isin([r["part"] for r in told]) & F.col("term").isin([r["term"] for r in told])) if told else rows.limit(0)
+    hits = rows.drop("part").join(terms.select("term", "weight"), "term")
     df = hits.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     boost = F.lit(0.0)
     for n, v in boosts.items():
         boost = F.when(F.col("field") == n, v).otherwise(boost)
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean_len")))
-    return hits.join(df, ["field", "term"]).join(sizes, "field").groupBy(*key).agg(F.sum(boost * F.col("weight") * idf * tf).alias("score"))
+    return hits.join(df, ["field", "term"]).join(spark.read.parquet(f"{path}/sizes"), "field").groupBy(*key).agg(F.sum(boost * F.col("weight") * idf * tf).alias("score"))
+
+
+def hybrid(ranked: DataFrame, exact: DataFrame, key: list[str]) -> DataFrame:
+    """key, score, exact: an exact score counts a hundredfold and before any other; exact hits that the ranking lacks come in beside it."""
+    a = ranked.select(*key, F.col("score").alias("_bm25"))
+    b = exact.select(*key, F.col("score").alias("_exact"))
+    told = F.coalesce(F.col("_exact") > 0, F.lit(False))
+    return a.join(b, key, "full_outer").select(*key, F.when(told, F.col("_exact") * 100).otherwise(F.col("_bm25")).alias("score"), told.alias("exact"))
 
 
 def symbol_score(name: Column, path: Column, signature: Column, exported: Column, terms: list[str]) -> Column:

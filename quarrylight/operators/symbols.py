@@ -82,7 +82,7 @@ def imports(docs: DataFrame, text: str = "content") -> DataFrame:
 
 def import_candidates(source: Column, raw: Column, language: Column) -> Column:
     """Ordered candidate paths of an import: relative ones from the source's directory, names as paths."""
-    folder = F.split(F.regexp_replace(source, "/?[^/]*$", ""), "/")
+    folder = F.filter(F.split(F.regexp_replace(source, "/?[^/]*$", ""), "/"), lambda x: x != "")
     ups = F.size(F.regexp_extract_all(raw, F.lit(r"(\.\./)"), 1))
     bare = F.regexp_replace(raw, r"^(?:\.\.?/)+", "")
     base = F.array_join(F.concat(F.slice(folder, F.lit(1), F.greatest(F.lit(0), F.size(folder) - ups)), F.split(bare, "/")), "/")

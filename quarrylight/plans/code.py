@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as T
-from ..operators import graph, history, inventory, lexical, symbols
+from ..operators import graph, history, inventory, lexical, store, symbols
+from ..session import shared_dir
 from ..sources.tables import spread, table
 
 #: One task that search queries ask.
@@ -150,12 +153,39 @@ def lexical_search(spark, sf_dir):
     return lexical.search(spark, docs(spark, sf_dir), TASK, 20, ("repo_id", "path")).select("repo_id", "path", "role", "score")
 
 
-def bm25_search(spark, sf_dir):
-    """The best files by fielded BM25 of one task."""
+def search_index(spark, sf_dir) -> str:
+    """Where the inverted index of the current files lies: kept for their fingerprint, made if it isn't there."""
+    f = files(spark, sf_dir)
+    state = table(spark, sf_dir, "source_reads").filter("status = 'read'").agg(F.sum(F.xxhash64("read_id", "read_at").cast("decimal(20,0)")).alias("r"), F.count(F.lit(1)).alias("n")).first()
+    mark = f.agg(F.sum(F.xxhash64("repo_id", "path", "hash", "role", "language").cast("decimal(20,0)")).alias("f"), F.count(F.lit(1)).alias("n")).first()
+    at = f"{shared_dir(spark)}/quarrylight/index-{hashlib.sha256(repr((*state, *mark)).encode()).hexdigest()[:32]}"
+    store.cached_result(spark, f"{at}/done", ["index"], lambda: _made_index(spark, sf_dir, at))
+    return at
+
+
+def _made_index(spark, sf_dir, at: str) -> DataFrame:
     d = docs(spark, sf_dir)
-    fields = {"path": F.col("path"), "file_name": F.regexp_extract("path", r"([^/]+)$", 1), "content": F.col("content")}
-    got = lexical.bm25(d, ["repo_id", "path"], fields, lexical.BOOSTS, lexical.query_terms(spark, TASK))
-    return got.select("repo_id", "path", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "repo_id", "path").limit(25)
+    named = symbols.symbols(d).groupBy("repo_id", "path").agg(F.array_join(F.collect_list("name"), " ").alias("symbols"))
+    d = d.join(named, ["repo_id", "path"], "left")
+    fields = {"path": F.col("path"), "file_name": F.regexp_extract("path", r"([^/]+)$", 1), "symbols": F.col("symbols"), "content": F.col("content"), "role": F.col("role"), "language": F.col("language")}
+    lexical.write_index(d, ["repo_id", "path"], fields, at)
+    return spark.range(1)
+
+
+def _bm25(spark, sf_dir, limit: int) -> DataFrame:
+    got = lexical.bm25(spark, search_index(spark, sf_dir), ["repo_id", "path"], lexical.query_terms(spark, TASK))
+    return got.select("repo_id", "path", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "repo_id", "path").limit(limit)
+
+
+def bm25_search(spark, sf_dir):
+    """The best files by BM25 of one task over six fields of the kept index."""
+    return _bm25(spark, sf_dir, 25)
+
+
+def hybrid_search(spark, sf_dir):
+    """Eight times as many files by BM25 as asked for, with the exact hits before and beside them."""
+    got = lexical.hybrid(_bm25(spark, sf_dir, 200), lexical_search(spark, sf_dir), ["repo_id", "path"])
+    return got.select("repo_id", "path", F.round("score", 6).alias("score"), "exact").orderBy(F.desc("exact"), F.desc("score"), "repo_id", "path").limit(25)
 
 
 def symbol_extract(spark, sf_dir):
@@ -251,7 +281,7 @@ def ranked_edges(spark, sf_dir):
 
 def two_hop_edges(spark, sf_dir):
     e = graph.clean_edges(table(spark, sf_dir, "edges"))
-    return graph.two_hops(e, F.col("_via") != F.col("source_path"))
+    return graph.two_hops(e, F.lit(True), second=(F.col("kind") == "reexport") | F.col("source_path").rlike(r"(?:^|/)__init__\.py$"))
 
 
 def edge_import(spark, sf_dir):
@@ -298,13 +328,6 @@ s AS (SELECT d.*, t.times, t.weight AS w, contains(p, term) AS ip, contains(n, t
 a AS (SELECT repo_id, path, role, p, named, sum(times * w * (CASE WHEN ip THEN 8.0 * CASE WHEN named THEN 1 ELSE 0.25 END ELSE 0 END + CASE WHEN in_ THEN 5.0 * CASE WHEN named THEN 1 ELSE 0.25 END ELSE 0 END + CASE WHEN o > 0 THEN 2 + least(o, 10) ELSE 0 END
  - CASE WHEN NOT ip AND NOT in_ AND o = 0 THEN 1 ELSE 0 END)::DOUBLE) + CASE WHEN named THEN 50 ELSE 0 END AS x, bool_or(o > 0) OR named AS told FROM s GROUP BY 1, 2, 3, 4, 5)
 SELECT repo_id, path, role, round(x + CASE role WHEN 'source' THEN 1.0 WHEN 'test' THEN 0.7 WHEN 'config' THEN 0.4 WHEN 'schema' THEN 0.4 WHEN 'docs' THEN 0.4 ELSE 0.0 END, 6)::DOUBLE AS score FROM a WHERE x > 0 AND told ORDER BY score DESC, repo_id, path LIMIT 20"""
-BM25_SQL = W + f"""
-, f AS (SELECT repo_id, path, 'path' AS field, 3.5::DOUBLE AS boost, {T.words_sql('path')} AS ws FROM docs_ UNION ALL SELECT repo_id, path, 'file_name', 4.0, {T.words_sql("regexp_extract(path, '([^/]+)$', 1)")} FROM docs_ UNION ALL SELECT repo_id, path, 'content', 1.0, {T.words_sql('content')} FROM docs_),
-z AS (SELECT field, count(*) AS docs, avg(len(ws)) AS ml FROM f GROUP BY 1),
-p AS (SELECT repo_id, path, field, boost, len(ws) AS l, unnest(ws) AS term FROM f),
-h AS (SELECT repo_id, path, p.field, boost, l, p.term, t.weight, count(*) AS tf FROM p JOIN {TERMS_SQL} t ON t.term = p.term GROUP BY ALL),
-df AS (SELECT field, term, count(*) AS df FROM h GROUP BY 1, 2)
-SELECT repo_id, path, round(sum(boost * weight * ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / ml))), 6)::DOUBLE AS score FROM h JOIN df USING (field, term) JOIN z USING (field) GROUP BY 1, 2 ORDER BY score DESC, repo_id, path LIMIT 25"""
 PARTS_SQL = r"list_filter(string_split_regex(" + P.lower_sql(r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(NAME, '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '([A-Za-z])([0-9])', '\1 \2', 'g'), '([0-9])([A-Za-z])', '\1 \2', 'g')") + ", '[^a-z0-9]+'), lambda x: x <> '')"
 
 
@@ -316,6 +339,15 @@ LINES_SQL = r", lines_ AS (SELECT repo_id, path, language, unnest(l) AS line, ge
 EXPORTED_SQL = "CASE " + " ".join(f"WHEN language = '{k}' THEN regexp_matches(line, '{v}')" for k, v in symbols.EXPORTED.items() if k != "kotlin") + " ELSE false END"
 SYMBOLS_SQL = LINES_SQL + f""", sym0 AS (SELECT *, {_first_sql(symbols.SYMBOLS, lambda r: f"{{'kind': '{r[1]}', 'name': regexp_extract(line, '{r[2].replace(chr(39), chr(39) * 2)}', 1)}}")} AS f, {EXPORTED_SQL} AS exported FROM lines_),
 sym AS (SELECT DISTINCT repo_id, path, language, f.name AS name, f.kind AS kind, line_no, left(trim(line, ' '), 200) AS signature, exported FROM sym0 WHERE f IS NOT NULL AND f.name <> '')"""
+BM25_SQL = W + SYMBOLS_SQL + f"""
+, sn AS (SELECT repo_id, path, string_agg(name, ' ') AS names FROM sym GROUP BY 1, 2), dd AS (SELECT docs_.*, names FROM docs_ LEFT JOIN sn USING (repo_id, path)),
+f AS (SELECT repo_id, path, 'path' AS field, 3.5::DOUBLE AS boost, {T.words_sql('path')} AS ws FROM dd UNION ALL SELECT repo_id, path, 'file_name', 4.0, {T.words_sql("regexp_extract(path, '([^/]+)$', 1)")} FROM dd UNION ALL SELECT repo_id, path, 'content', 1.0, {T.words_sql('content')} FROM dd
+ UNION ALL SELECT repo_id, path, 'symbols', 6.0, {T.words_sql('names')} FROM dd UNION ALL SELECT repo_id, path, 'role', 0.4, {T.words_sql('role')} FROM dd UNION ALL SELECT repo_id, path, 'language', 0.3, {T.words_sql('language')} FROM dd),
+z AS (SELECT field, count(*) AS docs, avg(len(ws)) AS ml FROM f GROUP BY 1),
+p AS (SELECT repo_id, path, field, boost, len(ws) AS l, unnest(ws) AS term FROM f),
+h AS (SELECT repo_id, path, p.field, boost, l, p.term, t.weight, count(*) AS tf FROM p JOIN {TERMS_SQL} t ON t.term = p.term GROUP BY ALL),
+df AS (SELECT field, term, count(*) AS df FROM h GROUP BY 1, 2)
+SELECT repo_id, path, round(sum(boost * weight * ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / ml))), 6)::DOUBLE AS score FROM h JOIN df USING (field, term) JOIN z USING (field) GROUP BY 1, 2 ORDER BY score DESC, repo_id, path LIMIT 25"""
 IMPORTS_SQL = LINES_SQL + f""", imp0 AS (SELECT *, {_first_sql(symbols.IMPORTS, lambda r: f"{{'raw': regexp_extract(line, '{r[1].replace(chr(39), chr(39) * 2)}', 1), 'c': {r[2]}::DOUBLE}}")} AS f FROM lines_),
 imp AS (SELECT repo_id, path AS source_path, language, f.raw AS raw, max(f.c) AS confidence FROM imp0 WHERE f IS NOT NULL AND f.raw <> '' GROUP BY 1, 2, 3, 4)"""
 EDGE_ANCHORS_SQL = ", ea AS (SELECT * FROM (SELECT repo_id, source_path AS path, row_number() OVER (PARTITION BY repo_id ORDER BY count(*) DESC, source_path) AS ord FROM edges_ GROUP BY 1, 2) WHERE ord <= 3)"
@@ -345,6 +377,7 @@ SQL = {
     "explicit_paths_found": f"SELECT path, count(*) AS documents FROM (SELECT unnest(list_distinct({EXPLICIT_SQL})) AS path FROM documents) GROUP BY 1",
     "lexical_search": LEXICAL_SQL,
     "bm25_search": BM25_SQL,
+    "hybrid_search": f"WITH bm AS ({BM25_SQL.replace('LIMIT 25', 'LIMIT 200')}), ex AS ({LEXICAL_SQL}) SELECT coalesce(bm.repo_id, ex.repo_id) AS repo_id, coalesce(bm.path, ex.path) AS path, round(CASE WHEN coalesce(ex.score, 0) > 0 THEN ex.score * 100 ELSE bm.score END, 6)::DOUBLE AS score, coalesce(ex.score, 0) > 0 AS exact FROM bm FULL JOIN ex ON bm.repo_id = ex.repo_id AND bm.path = ex.path ORDER BY exact DESC, score DESC, 1, 2 LIMIT 25",
     "symbol_extract": W + SYMBOLS_SQL + " SELECT language, kind, exported, count(*) AS symbols, count(DISTINCT path) AS paths, min(name) AS first_name FROM sym GROUP BY 1, 2, 3",
     "import_extract": W + IMPORTS_SQL + " SELECT language, confidence, count(*) AS imports, count(DISTINCT raw) AS names, min(raw) AS first_raw FROM imp GROUP BY 1, 2",
     "commit_labels": W + "SELECT repo_id, revision, sha, coalesce(string_agg(path, ',' ORDER BY path) FILTER (scope = 'safe'), '') AS safe_files, count(*) FILTER (scope <> 'safe') AS excluded FROM labelled GROUP BY 1, 2, 3",
@@ -360,7 +393,7 @@ SELECT repo_id, count(DISTINCT CASE WHEN scope = 'safe' THEN path END) AS safe_p
     "mentioned_commits": W + "SELECT repo_id, count(DISTINCT CASE WHEN scope = 'safe' THEN path END) AS safe_paths, count(*) FILTER (scope <> 'safe') AS excluded FROM labelled WHERE left(sha, 8) IN (SELECT left(sha, 8) FROM commits WHERE title LIKE 'callers%') GROUP BY 1",
     "related_edges": W + RELATED_SQL + " SELECT * FROM rel",
     "ranked_edges": W + RELATED_SQL + f", s AS (SELECT *, len(list_intersect({STEM_TOKENS.format('source_path')}, {STEM_TOKENS.format('target_path')})) AS shared FROM rel) SELECT repo_id, source_path, target_path, kind, shared, rank FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY direction, anchor_ord, shared DESC, confidence DESC, source_path, target_path, kind) AS rank FROM s) WHERE rank <= 40",
-    "two_hop_edges": W + "SELECT a.repo_id, a.source_path, b.target_path, round(max(greatest(0.0, least(1.0, a.confidence * b.confidence * 0.85::DOUBLE))), 6)::DOUBLE AS confidence, count(DISTINCT a.target_path) AS ways FROM edges_ a JOIN edges_ b ON a.repo_id = b.repo_id AND a.target_path = b.source_path WHERE a.source_path <> b.target_path GROUP BY 1, 2, 3",
+    "two_hop_edges": W + "SELECT a.repo_id, a.source_path, b.target_path, round(max(greatest(0.0, least(1.0, a.confidence * b.confidence * 0.85::DOUBLE))), 6)::DOUBLE AS confidence, count(DISTINCT a.target_path) AS ways FROM edges_ a JOIN edges_ b ON a.repo_id = b.repo_id AND a.target_path = b.source_path WHERE a.source_path <> b.target_path AND (b.kind = 'reexport' OR regexp_matches(b.source_path, '(?:^|/)__init__\\.py$')) GROUP BY 1, 2, 3",
     "edge_import": W + ", s AS (SELECT repo_id, path FROM safe_ WHERE role IN ('source', 'test')) SELECT repo_id, kind, CASE WHEN EXISTS (SELECT 1 FROM s WHERE s.repo_id = e.repo_id AND s.path = e.source_path) AND EXISTS (SELECT 1 FROM s WHERE s.repo_id = e.repo_id AND s.path = e.target_path) THEN 'accepted' ELSE 'rejected' END AS outcome, count(*) AS edges, round(max(confidence), 6) AS best FROM edges_ e GROUP BY 1, 2, 3",
     "graph_nodes": W + "SELECT repo_id, path, max(confidence) AS weight, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM (SELECT repo_id, source_path AS path, confidence, 1 AS o, 0 AS i FROM edges_ UNION ALL SELECT repo_id, target_path, confidence, 0, 1 FROM edges_) GROUP BY 1, 2",
     "symbol_reference_edges": W + SYMBOLS_SQL + f""", sd AS (SELECT d.* FROM docs_ d JOIN safe_ USING (repo_id, path) WHERE d.role IN ('source', 'test') AND d.language IN {REFERENCING}),
@@ -375,7 +408,7 @@ FROM sd d JOIN nm n ON d.repo_id = n.repo_id AND d.path <> n.path AND contains(c
 QUERIES = {
     f.__name__: f
     for f in (
-        role_counts, language_counts, path_classes, area_rollup, area_mode_role, area_families_top, broad_area_top4, inventory_fingerprint, snapshot_diff, store_merge, vector_upsert, read_status, tokenized_queries, identifier_parts, task_information, explicit_paths_found, lexical_search, bm25_search,
+        role_counts, language_counts, path_classes, area_rollup, area_mode_role, area_families_top, broad_area_top4, inventory_fingerprint, snapshot_diff, store_merge, vector_upsert, read_status, tokenized_queries, identifier_parts, task_information, explicit_paths_found, lexical_search, bm25_search, hybrid_search,
         symbol_extract, symbol_search, symbol_reference_edges, import_extract, import_resolve, commit_labels, change_kinds, cochange_hints, newest_commits, mentioned_commits, named_commits, related_edges, ranked_edges, two_hop_edges, edge_import, graph_nodes, graph_communities, related_tests,
     )
 }

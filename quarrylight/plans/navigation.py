@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions import tasks as K
 from ..functions import text as T
-from ..operators import commands, floors, fusion, graph, history, inventory
+from ..operators import commands, floors, fusion, graph, history, inventory, symbols
 from ..operators.ranks import best_items, first_rows
 from ..sources.tables import table
-from .code import FILES_SQL, W, files
+from .code import FILES_SQL, W, files, reads
 from .ranking import HITS_SQL, KEY, PLAN_SQL, candidates
 
 
@@ -186,6 +186,46 @@ def signal_support(spark, sf_dir):
     return n.withColumn("supported", F.col("repositories") >= 2)
 
 
+def written_imports(spark, sf_dir) -> DataFrame:
+    """The edges of kind import as a source of its language would write them: relative paths, dotted modules, crate paths."""
+    e = graph.clean_edges(table(spark, sf_dir, "edges")).filter("kind = 'import'")
+    language, bare = P.language(F.col("source_path")), F.regexp_replace("target_path", r"\.[^./]+$", "")
+    depth = F.size(F.split("source_path", "/")) - 1
+    raw = (
+        F.when(language.isin("javascript", "typescript"), F.concat(F.when(depth == 0, "./").otherwise(F.repeat(F.lit("../"), depth)), bare)).when(language == "python", F.replace(bare, F.lit("/"), F.lit(".")))
+        .when(language == "rust", F.concat(F.lit("crate::"), F.replace(bare, F.lit("/"), F.lit("::")))).when(language == "java", F.replace(bare, F.lit("/"), F.lit(".")))
+    )
+    return e.select("repo_id", "source_path", language.alias("language"), raw.alias("raw")).filter("raw is not null").distinct()
+
+
+def _resolved(spark, sf_dir) -> DataFrame:
+    f = files(spark, sf_dir).filter("role in ('source', 'test')").select("repo_id", "path")
+    return graph.resolved_imports(written_imports(spark, sf_dir), f, symbols.import_candidates(F.col("source_path"), F.col("raw"), F.col("language")))
+
+
+def resolved_imports(spark, sf_dir):
+    """Written imports with the file of the repository that they mean."""
+    return _resolved(spark, sf_dir)
+
+
+def dependency_edges(spark, sf_dir):
+    """Resolved imports and the stored edges as one list, imports first, then the order in which edges came; counted by kind."""
+    none = F.lit(None).cast("timestamp_ntz")
+    found = _resolved(spark, sf_dir).select("repo_id", "source_path", "target_path", F.lit("import").alias("kind"), F.lit(0).alias("from"), none.alias("at"), F.lit(0.9).alias("confidence"))
+    stored = table(spark, sf_dir, "edges").select("repo_id", "source_path", "target_path", "kind", F.lit(1).alias("from"), F.col("ingested_at").alias("at"), F.when(F.isnan("confidence"), None).otherwise(F.col("confidence")).alias("confidence"))
+    rows = graph.deduplicated(found.unionByName(stored), [F.asc("from"), F.asc_nulls_last("at"), F.desc_nulls_last("confidence")])
+    return rows.groupBy("repo_id", "kind").agg(F.count(F.lit(1)).alias("edges"), F.count_if(F.col("from") == 0).alias("resolved"), F.round(F.sum("confidence"), 4).alias("confidence"))
+
+
+def anchor_tests(spark, sf_dir):
+    """The ten tests of each repository that the hints' anchors are tied to most: by name, directory, mirrored directory, mention and terms."""
+    a = table(spark, sf_dir, "co_change").select("repo_id", P.normal_path(F.col("anchor_path")).alias("path")).filter("path is not null").distinct()
+    a = a.withColumn("ord", F.row_number().over(Window.partitionBy("repo_id").orderBy("path")) - 1)
+    t = inventory.safe_files(files(spark, sf_dir), ("test",)).select("repo_id", "path").join(reads(spark, sf_dir), ["repo_id", "path"], "left")
+    top = first_rows(graph.scored_tests(graph.source_keys(a), t), ["repo_id"], [F.desc("score"), F.asc("test_path")], 10, "place")
+    return top.select("repo_id", "test_path", "score", F.col("place").cast("bigint").alias("place"))
+
+
 def _ends(values: list[str]) -> str:
     return "(?:" + "|".join(v.replace(".", r"\.") for v in values) + ")$"
 
@@ -210,7 +250,7 @@ def _floor(name: str, where: str, a: str, b: str, v: str, r: str) -> str:
 
 
 FLOOR_SQL = (
-    f"WITH {HITS_SQL}, {SEEDS}, {EDGE_KIND}, eo AS (SELECT search_id, sd.repo_id, target_path AS path, min(CASE WHEN kind LIKE 'precision:%' THEN 0 WHEN kind = 'imports' THEN 1 WHEN kind = 'python_reexport' THEN 3 ELSE 2 END) AS eo FROM sd JOIN ek ON ek.repo_id = sd.repo_id AND source_path = seed GROUP BY 1, 2, 3),"
+    f"WITH {HITS_SQL}, {SEEDS}, {EDGE_KIND}, eo AS (SELECT search_id, sd.repo_id, target_path AS path, min(CASE WHEN kind LIKE 'precision%' THEN 0 WHEN kind IN ('import', 'imports') THEN 1 WHEN kind IN ('reexport', 'python_reexport') THEN 3 ELSE 2 END) AS eo FROM sd JOIN ek ON ek.repo_id = sd.repo_id AND source_path = seed GROUP BY 1, 2, 3),"
     " c AS (SELECT cand.*, eo.eo FROM cand LEFT JOIN eo USING (search_id, repo_id, path)), fl AS ("
     + " UNION ALL ".join([
         _floor("lexical", "role = 'source' AND lexical_score >= 0.3", AUX, "0", "lexical_score", "lexical_rank"),
@@ -238,7 +278,36 @@ PRE = " + ".join(f"CASE WHEN contains({LOW}, '{t}') THEN 4.0::DOUBLE ELSE 0.0::D
 PARTS = r"list_filter(string_split_regex(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(NAME, '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '([A-Za-z])([0-9])', '\1 \2', 'g'), '([0-9])([A-Za-z])', '\1 \2', 'g')), '[^a-z0-9]+'), lambda x: x <> '')"
 NAME = r"regexp_extract(path, '([^/.]+)[^/]*$', 1)"
 
+BARE = r"regexp_replace(target_path, '\.[^./]+$', '')"
+CANDS = {
+    "('javascript', 'typescript')": [f"{BARE} || '{e}'" for e in ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.js")], "('python')": [f"{BARE} || '{e}'" for e in (".py", "/__init__.py")],
+    "('rust')": [f"{BARE} || '.rs'", f"{BARE} || '/mod.rs'", f"regexp_replace({BARE}, '/[^/]*$', '') || '.rs'"], "('java')": [f"{BARE} || '.java'", f"{BARE} || '.kt'"],
+}
+RAW = f"CASE WHEN lang IN ('javascript', 'typescript') THEN CASE WHEN contains(source_path, '/') THEN repeat('../', len(string_split(source_path, '/')) - 1) ELSE './' END || {BARE} WHEN lang IN ('python', 'java') THEN replace({BARE}, '/', '.') WHEN lang = 'rust' THEN 'crate::' || replace({BARE}, '/', '::') END"
+RESOLVED_SQL = (
+    f"im0 AS (SELECT DISTINCT repo_id, source_path, target_path, {P.language_sql('source_path')} AS lang FROM edges_ WHERE kind = 'import'), im AS (SELECT *, {RAW} AS raw, CASE "
+    + " ".join(f"WHEN lang IN {k} THEN [{', '.join(v)}]" for k, v in CANDS.items())
+    + " END AS cands FROM im0 WHERE lang IN ('javascript', 'typescript', 'python', 'rust', 'java')), ic AS (SELECT DISTINCT repo_id, source_path, raw, unnest(list_transform(cands, lambda c, i: {'pos': i - 1, 'cand': c})) AS c FROM im),"
+    " rf AS (SELECT repo_id, path FROM files_ WHERE role IN ('source', 'test')),"
+    " hit AS (SELECT ic.repo_id, source_path, raw, c.pos AS pos, CASE WHEN rf.path = c.cand THEN 0 ELSE 1 END AS how, rf.path AS path FROM ic JOIN rf ON rf.repo_id = ic.repo_id AND (rf.path = c.cand OR ends_with(rf.path, '/' || c.cand))),"
+    " rs AS (SELECT repo_id, source_path, raw, arg_min(path, {'p': pos, 'h': how, 't': path}) AS target_path, min({'p': pos, 'h': how}).p::BIGINT AS candidate FROM hit GROUP BY 1, 2, 3), res AS (SELECT * FROM rs WHERE source_path <> target_path)"
+)
+TEST_TERMS = PARTS.replace("NAME", "regexp_extract(path, '([^/.]+)[^/]*$', 1)")
+ANCHOR_TESTS_SQL = W + f""", a0 AS (SELECT DISTINCT repo_id, {NORMAL.format('anchor_path')} AS path FROM co_change WHERE anchor_path IS NOT NULL), a1 AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY path) - 1 AS ord FROM a0 WHERE path <> ''),
+sk AS (SELECT repo_id, lower(path) AS path, {P.stem_sql('path')} AS stem, regexp_replace(lower(path), '/?[^/]*$', '') AS dir, list_distinct(list_filter({TEST_TERMS}, lambda x: length(x) >= 3)) AS terms, greatest(5 - ord, 0) AS bonus FROM a1),
+sm AS (SELECT *, regexp_replace(dir, '^[^/]+/?', '') AS rest FROM sk), tt AS (SELECT f.repo_id, f.path AS test_path, regexp_extract(lower(f.path), '([^/]+)$', 1) AS name, '/' || regexp_replace(lower(f.path), '/?[^/]*$', '') || '/' AS dir, lower(coalesce(r.content, '')) AS body FROM safe_ f LEFT JOIN reads_ r USING (repo_id, path) WHERE f.role = 'test'),
+st AS (SELECT tt.repo_id, test_path, sum(CASE WHEN length(stem) >= 3 AND contains(name, stem) THEN 16.0::DOUBLE + bonus ELSE 0 END + CASE WHEN sm.dir <> '' AND contains(tt.dir, '/' || sm.dir || '/') THEN 4.0::DOUBLE ELSE 0 END
+ + CASE WHEN rest <> '' AND ({' OR '.join(f"contains(tt.dir, '/{x}/' || rest || '/')" for x in graph.TEST_ROOTS)}) THEN 7.0::DOUBLE + bonus ELSE 0 END + CASE WHEN list_contains(list_transform(regexp_extract_all(body, '([a-z0-9_./-]*[a-z0-9_])', 1), lambda x: regexp_replace(x, '^(?:\\.{{0,2}}/)+', '')), sm.path) THEN 8.0::DOUBLE ELSE 0 END) AS tied FROM tt JOIN sm ON sm.repo_id = tt.repo_id GROUP BY 1, 2),
+tm AS (SELECT DISTINCT repo_id, unnest(terms) AS w FROM sk), wd AS (SELECT repo_id, test_path, w, count(*) AS n FROM (SELECT repo_id, test_path, unnest(string_split_regex(body, '[^a-z0-9]+')) AS w FROM tt) WHERE length(w) >= 3 GROUP BY 1, 2, 3),
+tl AS (SELECT wd.repo_id, test_path, sum(1.5::DOUBLE + least(n, 5)) AS terms FROM wd JOIN tm ON tm.repo_id = wd.repo_id AND tm.w = wd.w GROUP BY 1, 2),
+z AS (SELECT tt.repo_id, tt.test_path, round(CASE WHEN coalesce(tied, 0) = 0 THEN CASE WHEN terms IS NOT NULL THEN least(terms, 6.0::DOUBLE) END ELSE tied + coalesce(terms, 0.0) END, 6)::DOUBLE AS score FROM tt LEFT JOIN st USING (repo_id, test_path) LEFT JOIN tl USING (repo_id, test_path))
+SELECT repo_id, test_path, score, place FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY score DESC, test_path) AS place FROM z WHERE score IS NOT NULL) WHERE place <= 10"""
+
 SQL = {
+    "resolved_imports": W + ", " + RESOLVED_SQL + " SELECT repo_id, source_path, raw, target_path, candidate FROM res",
+    "dependency_edges": W + ", " + RESOLVED_SQL + """, al AS (SELECT repo_id, source_path, target_path, 'import' AS kind, 0 AS src, NULL::TIMESTAMP AS at_, 0.9::DOUBLE AS confidence FROM res UNION ALL SELECT repo_id, source_path, target_path, kind, 1, ingested_at, CASE WHEN isnan(confidence) THEN NULL ELSE confidence END FROM edges WHERE source_path IS NOT NULL AND target_path IS NOT NULL AND source_path <> target_path),
+fr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, source_path, target_path, kind ORDER BY src, at_ NULLS LAST, confidence DESC NULLS LAST) AS r FROM al) WHERE r = 1) SELECT repo_id, kind, count(*) AS edges, count(*) FILTER (src = 0) AS resolved, round(sum(confidence), 4) AS confidence FROM fr GROUP BY 1, 2""",
+    "anchor_tests": ANCHOR_TESTS_SQL,
     "floor_lists": FLOOR_SQL,
     "next_reads": PLAN_SQL + f""", j AS (SELECT c.*, p.path IS NOT NULL AS picked FROM cand c LEFT JOIN plan p USING (search_id, repo_id, path)),
 lf AS (SELECT search_id, repo_id, area, count(*) FILTER (role IN ('source','config','schema') AND NOT picked) AS s, count(*) FILTER (role = 'test' AND NOT picked) AS t FROM j GROUP BY 1, 2, 3),
@@ -282,6 +351,6 @@ g AS (SELECT repo_id, path, max(confidence) AS confidence, min(d)::BIGINT AS dir
 QUERIES = {
     f.__name__: f
     for f in (
-        floor_lists, next_reads, plan_tests, test_commands, task_families, broad_validation, source_roots, expansion_seeds, commit_candidates, edge_profile, retrieval_targets, commit_replay, exact_primary, file_prefilter, neighborhood, anchored_targets, signal_support,
+        floor_lists, next_reads, plan_tests, test_commands, task_families, broad_validation, source_roots, expansion_seeds, commit_candidates, edge_profile, retrieval_targets, commit_replay, exact_primary, file_prefilter, neighborhood, anchored_targets, signal_support, resolved_imports, dependency_edges, anchor_tests,
     )
 }

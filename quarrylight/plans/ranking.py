@@ -224,8 +224,8 @@ def event_windows(spark, sf_dir):
     stream = feeds.event_stream(spark, sf_dir, table(spark, sf_dir, "events"), "events.parquet")
     # event time needs a zone; the log's has none and is taken as UTC
     counts = feeds.windowed_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts")
-    feeds.write_complete(counts, out, state).awaitTermination()
-    return spark.read.parquet(out).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "events", F.round("value", 2).alias("value"))
+    feeds.write_changes(counts, out, state).awaitTermination()
+    return feeds.current_rows(spark, out, ["w", "event_type"]).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "events", F.round("value", 2).alias("value"))
 
 
 HITS_SQL = """lim AS (SELECT search_id, max(coalesce(result_limit, 10)) AS n FROM search_runs GROUP BY 1),
@@ -238,7 +238,7 @@ sig AS (SELECT h.search_id, h.repo_id, path, CASE WHEN rank <= greatest(1, coale
  UNION ALL SELECT search_id, h.repo_id, i.path, 'co_change', max(least(0.95, k / 5.0))::DOUBLE, NULL FROM hits h JOIN hint i ON i.repo_id = h.repo_id AND i.seed = h.path WHERE rank <= 3 AND i.path IS NOT NULL GROUP BY 1, 2, 3),
 wt AS (SELECT *, score * CASE signal WHEN 'co_change' THEN 1.35::DOUBLE WHEN 'lexical' THEN 1.0::DOUBLE WHEN 'lexical_expansion' THEN 0.8::DOUBLE WHEN 'dependency' THEN 0.45::DOUBLE END AS w FROM sig),
 bs AS (SELECT search_id, repo_id, path, signal, sum(w) AS s, max(w) AS b, min(lexical_rank) AS lr FROM wt GROUP BY 1, 2, 3, 4),
-cand0 AS (SELECT search_id, repo_id, path, round(sum(s), 6) AS rank_score, min(lr) AS lexical_rank, string_agg(signal, ',' ORDER BY signal) AS signals, round(max(CASE WHEN signal = 'lexical' THEN b END), 6) AS lexical_score, round(max(CASE WHEN signal = 'dependency' THEN b END), 6) AS dependency_score, round(max(CASE WHEN signal = 'co_change' THEN b END), 6) AS co_change_score FROM bs GROUP BY 1, 2, 3),
+cand0 AS (SELECT search_id, repo_id, path, round(sum(s), 6) AS rank_score, min(lr) AS lexical_rank, string_agg(signal, ',' ORDER BY signal) AS signals, round(max(CASE WHEN signal IN ('lexical', 'lexical_expansion') THEN b END), 6) AS lexical_score, round(max(CASE WHEN signal = 'dependency' THEN b END), 6) AS dependency_score, round(max(CASE WHEN signal = 'co_change' THEN b END), 6) AS co_change_score FROM bs GROUP BY 1, 2, 3),
 cand AS (SELECT *, ROLE AS role, AREA AS area FROM cand0)""".replace("ROLE AS", P.role_sql("path") + " AS").replace("AREA AS", P.area_sql("path") + " AS")
 PLAN_SQL = (
     "WITH "

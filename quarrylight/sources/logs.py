@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.store import repeated
+
 TRACE = "schema_version int, trace_id string, task string, created bigint, target_paths array<string>"
 FEEDBACK = "schema_version int, event_id string, session string, outcome string, budget string, created bigint, recommended_files array<string>, read_files array<string>, edited_files array<string>, source_text_logged boolean"
 SIDECAR = "schema_version int, revision string, commits array<struct<sha string, files array<string>>>"
@@ -43,3 +45,33 @@ def append_feedback(rows: DataFrame, path: str) -> DataFrame:
     told = rows.withColumn("_why", bad_feedback())
     told.filter("_why is null").drop("_why").write.mode("append").json(path)
     return told.filter("_why is not null").withColumnRenamed("_why", "rejected")
+
+
+def try_append(rows: DataFrame, path: str, what: str) -> DataFrame:
+    """Append rows to a log; one row says how that went, and a failure is a status, no error: what, status, rows, message."""
+    spark = rows.sparkSession
+    try:
+        seen = Observation()
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").json(path)
+        told = ("appended", seen.get["n"], None)
+    except Exception as e:  # noqa: BLE001
+        told = ("failed", 0, str(e).split("\n")[0][:500])
+    return spark.createDataFrame([(what, *told)], "what string, status string, rows bigint, message string")
+
+
+def read_reports(spark: SparkSession, folder: str, schema: str, ident: str, created: str = "created") -> DataFrame:
+    """Reports of a folder, a JSON document a file: the newest first, then by id; other files are left alone.
+
+    A document that doesn't parse has a row with nulls and its text in ``_broken``.
+    """
+    rows = spark.read.schema(f"{schema}, _broken string").option("multiLine", True).option("columnNameOfCorruptRecord", "_broken").option("pathGlobFilter", "*.json").json(folder)
+    return rows.orderBy(F.desc_nulls_last(created), ident)
+
+
+def read_workspace(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The repositories of a workspace manifest, and its diagnostics: ids given twice, labels of several ids, absent parts."""
+    rows = spark.read.schema("version int, repos array<struct<id string, label string, root string>>").option("multiLine", True).json(path)
+    repos = rows.select("version", F.posexplode("repos").alias("ord", "r")).select("version", "ord", "r.*")
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    absent = repos.select(F.lit("error").alias("severity"), F.when(blank(F.col("id")), "no_id").when(blank(F.col("root")), "no_root").alias("code"), F.col("ord").cast("string").alias("value"), F.lit(1).cast("bigint").alias("times")).filter("code is not null")
+    return repos, repeated(repos, "id", "label").unionByName(absent)

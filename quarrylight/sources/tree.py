@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import language, role
-from ..operators.inventory import guarded_status
+from ..operators.inventory import MOST_BYTES, guarded_status
 
 #: Directories that are never entered.
 PRUNED = r"(?:^|/)(?:\.git|node_modules|target|dist|build|coverage|vendor|\.gradle|\.venv|__pycache__|\.ssh|\.aws)/"
@@ -15,12 +15,16 @@ PRUNED = r"(?:^|/)(?:\.git|node_modules|target|dist|build|coverage|vendor|\.grad
 def scan(spark: SparkSession, root: str, ignore: list[str] = (), sensitive: bool = False, generated: bool = False) -> DataFrame:
     """path, size_bytes, modified_at, hash, role, language, status, text of every file below a root.
 
-    ``ignore``: regular expressions of paths left out. Sensitive and generated files are left out unless asked for.
+    A file above the guarded size is neither opened nor hashed. ``ignore``: regular expressions of paths left out. Sensitive and generated files are left out unless asked for.
     """
     base = root.rstrip("/")
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
     path = F.regexp_replace(F.col("path"), r"^.*?\Q" + base.split("://")[-1] + r"\E/", "")
-    rows = rows.select(path.alias("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"), "content")
+    known = [path.alias("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at")]
+    # the size is known before a file is opened: of larger files no content is asked for
+    small = rows.filter(F.col("length") <= MOST_BYTES).select(*known, "content")
+    large = rows.filter(F.col("length") > MOST_BYTES).select(*known, F.lit(None).cast("binary").alias("content"))
+    rows = small.unionByName(large)
     rows = rows.filter(~F.col("path").rlike(PRUNED))
     for pattern in ignore:
         rows = rows.filter(~F.col("path").rlike(pattern))

@@ -191,3 +191,33 @@ def test_commits_that_texts_name(spark):
     texts = spark.createDataFrame([("r", "see commit ABCDEF12345 and commit 12345"), ("r", None), ("r", "7654321 without the word"), ("q", f"Commit {c}, twice {c}"), (None, f"commit {b}")], "repo_id string, text string")
     commits = spark.createDataFrame([(r, s, "p") for r in ("r", "q") for s in (a, b, c, c)] + [("r", None, "p")], "repo_id string, sha string, path string")
     assert sorted((x.repo_id, x.sha) for x in history.named_commits(texts, commits).collect()) == [("q", c), ("r", a)]
+
+
+def test_kept_index_and_hybrid(spark, tmp_path):
+    docs = spark.createDataFrame([("a/ledger.py", "token ledger token", "LedgerBook"), ("b.py", "token", None), ("c.md", None, "x")], "path string, content string, symbols string")
+    fields = {"path": F.col("path"), "content": F.col("content"), "symbols": F.col("symbols")}
+    at = str(tmp_path / "index")
+    lexical.write_index(docs, ["path"], fields, at)
+    terms = spark.createDataFrame([("token", 1.0), ("ledger", 1.0), ("absent", 1.0)], "term string, weight double")
+    got = {r.path: r.score for r in lexical.bm25(spark, at, ["path"], terms).collect()}
+    assert set(got) == {"a/ledger.py", "b.py"} and got["a/ledger.py"] > got["b.py"] > 0
+    assert lexical.bm25(spark, at, ["path"], terms.limit(0)).count() == 0
+    exact = spark.createDataFrame([("b.py", 2.0), ("d.py", 1.0), ("a/ledger.py", 0.0)], "path string, score double")
+    both = {r.path: (r.score, r.exact) for r in lexical.hybrid(lexical.bm25(spark, at, ["path"], terms), exact, ["path"]).collect()}
+    assert both == {"b.py": (200.0, True), "d.py": (100.0, True), "a/ledger.py": (got["a/ledger.py"], False)}
+
+
+def test_two_hops_over_reexports_alone(spark):
+    e = spark.createDataFrame([("r", "a", "hub", "import", 0.9), ("r", "hub", "c", "reexport", 0.8), ("r", "hub", "d", "import", 0.8)], "repo_id string, source_path string, target_path string, kind string, confidence double")
+    got = graph.two_hops(e, F.lit(True), second=F.col("kind") == "reexport").collect()
+    assert [(r.source_path, r.target_path, r.confidence) for r in got] == [("a", "c", 0.612)]
+    rows = spark.createDataFrame([("r", "a", "b", "import", 2), ("r", "a", "b", "import", 1), ("r", "a", "a", "import", 0), ("r", "a", None, "import", 0), ("r", "a", "b", "call", 3)], "repo_id string, source_path string, target_path string, kind string, at int")
+    assert {(r.kind, r["at"]) for r in graph.deduplicated(rows, [F.asc("at")]).collect()} == {("import", 1), ("call", 3)}
+
+
+def test_scored_tests(spark):
+    a = spark.createDataFrame([("r", "src/auth/tokenStore.ts", 0), ("r", "lib/other.ts", 7)], "repo_id string, path string, ord int")
+    t = spark.createDataFrame([("r", "tests/auth/tokenStore.test.ts", None), ("r", "x/a.test.ts", "import '../src/auth/tokenstore.ts'"), ("r", "x/b.test.ts", "store store store store store store token"), ("r", "x/c.test.ts", "nothing"), ("q", "tests/auth/tokenStore.test.ts", None)], "repo_id string, path string, content string")
+    got = {r.test_path: r.score for r in graph.scored_tests(graph.source_keys(a), t).collect()}
+    # name 16 + 5, mirrored 7 + 5; mention 8; terms alone at most 6
+    assert got == {"tests/auth/tokenStore.test.ts": 33.0, "x/a.test.ts": 8.0, "x/b.test.ts": 6.0}
