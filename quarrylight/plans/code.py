@@ -255,9 +255,9 @@ def named_commits(spark, sf_dir):
 
 
 def mentioned_commits(spark, sf_dir):
-    """Safe files of the commits whose title begins with callers, named in made texts by the first 8 digits."""
+    """Safe files of all commits that another commit has as its parent, named in made texts by the first 8 digits."""
     c = history.labelled(history.commit_files(table(spark, sf_dir, "commits")), files(spark, sf_dir))
-    named = table(spark, sf_dir, "commits").filter("title like 'callers%'").select(F.explode(history.mentioned_shas(F.concat(F.lit("see commit "), F.substring("sha", 1, 8)))).alias("short")).distinct()
+    named = table(spark, sf_dir, "commits").filter("parent_sha is not null").select(F.explode(history.mentioned_shas(F.concat(F.lit("see commit "), F.substring("parent_sha", 1, 8)))).alias("short")).distinct()
     hit = c.withColumn("short", F.substring("sha", 1, 8)).join(named, "short", "left_semi")
     return hit.groupBy("repo_id").agg(F.countDistinct(F.when(F.col("scope") == "safe", F.col("path"))).alias("safe_paths"), F.count_if(F.col("scope") != "safe").alias("excluded"))
 
@@ -390,7 +390,7 @@ SELECT repo_id, revision, path, commit_count, round(least(commit_count / 5.0, 0.
     "newest_commits": W + ", n AS (SELECT repo_id, revision, sha FROM (SELECT repo_id, revision, sha, row_number() OVER (PARTITION BY repo_id, revision ORDER BY max(at_) DESC, sha) AS r FROM commit_files GROUP BY 1, 2, 3) WHERE r <= 50) SELECT repo_id, revision, count(DISTINCT sha) AS commits, count(DISTINCT path) AS paths, count(*) AS changes FROM commit_files JOIN n USING (repo_id, revision, sha) GROUP BY 1, 2",
     "named_commits": W + r""", said AS (SELECT repo_id, lower(query_text) AS t FROM search_runs UNION ALL SELECT repo_id, lower(text) FROM documents), terms AS (SELECT DISTINCT repo_id, unnest(regexp_extract_all(t, '\b([0-9a-f]{7,40})\b', 1)) AS short FROM said WHERE contains(t, 'commit'))
 SELECT repo_id, count(DISTINCT CASE WHEN scope = 'safe' THEN path END) AS safe_paths, count(*) FILTER (scope <> 'safe') AS excluded FROM labelled l WHERE EXISTS (SELECT 1 FROM terms t WHERE t.repo_id = l.repo_id AND starts_with(l.sha, t.short)) GROUP BY 1""",
-    "mentioned_commits": W + "SELECT repo_id, count(DISTINCT CASE WHEN scope = 'safe' THEN path END) AS safe_paths, count(*) FILTER (scope <> 'safe') AS excluded FROM labelled WHERE left(sha, 8) IN (SELECT left(sha, 8) FROM commits WHERE title LIKE 'callers%') GROUP BY 1",
+    "mentioned_commits": W + "SELECT repo_id, count(DISTINCT CASE WHEN scope = 'safe' THEN path END) AS safe_paths, count(*) FILTER (scope <> 'safe') AS excluded FROM labelled WHERE left(sha, 8) IN (SELECT left(parent_sha, 8) FROM commits WHERE parent_sha IS NOT NULL) GROUP BY 1",
     "related_edges": W + RELATED_SQL + " SELECT * FROM rel",
     "ranked_edges": W + RELATED_SQL + f", s AS (SELECT *, len(list_intersect({STEM_TOKENS.format('source_path')}, {STEM_TOKENS.format('target_path')})) AS shared FROM rel) SELECT repo_id, source_path, target_path, kind, shared, rank FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY direction, anchor_ord, shared DESC, confidence DESC, source_path, target_path, kind) AS rank FROM s) WHERE rank <= 40",
     "two_hop_edges": W + "SELECT a.repo_id, a.source_path, b.target_path, round(max(greatest(0.0, least(1.0, a.confidence * b.confidence * 0.85::DOUBLE))), 6)::DOUBLE AS confidence, count(DISTINCT a.target_path) AS ways FROM edges_ a JOIN edges_ b ON a.repo_id = b.repo_id AND a.target_path = b.source_path WHERE a.source_path <> b.target_path AND (b.kind = 'reexport' OR regexp_matches(b.source_path, '(?:^|/)__init__\\.py$')) GROUP BY 1, 2, 3",
