@@ -54,8 +54,10 @@ def selected(candidates: DataFrame, group: list[str], budget: int = 10) -> DataF
     rows = candidates
     taken = []
     for i, (_, ok, by, quota) in enumerate(stages):
-        place = F.row_number().over(Window.partitionBy(*group, ok).orderBy(F.desc_nulls_last(by), F.desc("rank_score"), "path"))
-        rows = rows.withColumn(f"_p{i}", F.when(ok, place))
+        # all places share one partitioning: rows of the stage stand first in their group
+        fits = F.coalesce(ok, F.lit(False))
+        place = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(fits), F.desc_nulls_last(by), F.desc("rank_score"), "path"))
+        rows = rows.withColumn(f"_p{i}", F.when(fits, place))
         taken.append(F.when(F.col(f"_p{i}") <= quota, F.struct(F.lit(i).alias("stage"), F.col(f"_p{i}").alias("place"))))
     rows = rows.withColumn("_s", F.array_min(F.array_compact(F.array(*taken)))).filter("_s is not null")
     name = F.element_at(F.array(*[F.lit(s[0]) for s in stages]), F.col("_s.stage") + 1)

@@ -76,25 +76,26 @@ def search(spark: SparkSession, docs: DataFrame, query: str, limit: int = 20, ti
 INDEX_PARTS = 16
 
 
-def _fields(docs: DataFrame, key: list[str], fields: dict[str, Column]) -> DataFrame:
-    rows = docs.select(*key, F.explode(F.array(*[F.struct(F.lit(n).alias("field"), T.words(c).alias("w")) for n, c in fields.items()])).alias("f"))
-    return rows.select(*key, F.col("f.field").alias("field"), F.size("f.w").alias("len"), F.col("f.w").alias("w"))
-
-
-def postings(docs: DataFrame, key: list[str], fields: dict[str, Column]) -> DataFrame:
-    """key, field, term, tf and the field's length: the inverted index as a table."""
-    rows = _fields(docs, key, fields).select(*key, "field", "len", F.explode("w").alias("term"))
+def postings(words: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
+    """key, field, term, tf and the field's length: the inverted index as a table. words: key and a word array per field."""
+    rows = words.select(*key, F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).alias("w")) for n in fields])).alias("f"))
+    rows = rows.select(*key, F.col("f.field").alias("field"), F.size("f.w").alias("len"), F.explode("f.w").alias("term"))
     return rows.groupBy(*key, "field", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def write_index(docs: DataFrame, key: list[str], fields: dict[str, Column], path: str) -> None:
     """Keep the inverted index of the documents below ``path``: postings by parts of their terms, and sizes of the fields.
 
-    Texts are cut into words once; sizes come from the same rows by an aggregate with partial results.
+    Texts are read and cut into words once; postings and sizes come from the words that were written.
     """
+    spark, names = docs.sparkSession, list(fields)
+    docs.select(*key, *[T.words(c).alias(n) if n not in key else T.words(c).alias(f"_{n}") for n, c in fields.items()]).write.mode("overwrite").parquet(f"{path}/words")
+    words = spark.read.parquet(f"{path}/words").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], *[F.col(f"_{n}" if n in key else n).alias(n) for n in names])
     part = F.pmod(F.xxhash64("term"), F.lit(INDEX_PARTS)).cast("int")
-    postings(docs, key, fields).withColumn("part", part).sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
-    _fields(docs, key, fields).groupBy("field").agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("mean_len")).write.mode("overwrite").parquet(f"{path}/sizes")
+    rows = postings(words, [f"_k{i}" for i in range(len(key))], names).withColumnsRenamed({f"_k{i}": k for i, k in enumerate(key)})
+    rows.withColumn("part", part).sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+    sums = words.agg(F.count(F.lit(1)).alias("docs"), *[F.avg(F.size(n)).alias(n) for n in names])
+    sums.select(F.inline(F.array(*[F.struct(F.lit(n).alias("field"), F.col("docs"), F.col(n).alias("mean_len")) for n in names]))).write.mode("overwrite").parquet(f"{path}/sizes")
 
 
 def bm25(spark: SparkSession, path: str, key: list[str], terms: DataFrame, boosts: dict[str, float] = BOOSTS, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -102,10 +103,15 @@ def bm25(spark: SparkSession, path: str, key: list[str], terms: DataFrame, boost
 
     Only the parts of the query's terms are read, and of them the row groups that can hold a term.
     """
-    told = terms.select("term", "weight", F.pmod(F.xxhash64("term"), F.lit(INDEX_PARTS)).cast("int").alias("part")).collect()
+    # as many as the query has terms
+    told = {r["term"]: r["weight"] for r in terms.select("term", "weight").collect()}
     rows = spark.read.parquet(f"{path}/postings")
-    rows = rows.filter(F.col("part").isin([r["part"] for r in told]) & F.col("term").isin([r["term"] for r in told])) if told else rows.limit(0)
-    hits = rows.drop("part").join(terms.select("term", "weight"), "term")
+    if not told:
+        return rows.limit(0).select(*key, F.lit(0.0).alias("score"))
+    parts = F.array_distinct(F.transform(F.array(*[F.lit(t) for t in told]), lambda t: F.pmod(F.xxhash64(t), F.lit(INDEX_PARTS)).cast("int")))
+    weights = F.create_map(*[F.lit(x) for kv in told.items() for x in kv])
+    some = spark.range(1).select(parts.alias("p")).first()["p"]
+    hits = rows.filter(F.col("part").isin(some) & F.col("term").isin(list(told))).drop("part").withColumn("weight", F.element_at(weights, F.col("term")))
     df = hits.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     boost = F.lit(0.0)
     for n, v in boosts.items():

@@ -154,11 +154,11 @@ def lexical_search(spark, sf_dir):
 
 
 def search_index(spark, sf_dir) -> str:
-    """Where the inverted index of the current files lies: kept for their fingerprint, made if it isn't there."""
-    f = files(spark, sf_dir)
-    state = table(spark, sf_dir, "source_reads").filter("status = 'read'").agg(F.sum(F.xxhash64("read_id", "read_at").cast("decimal(20,0)")).alias("r"), F.count(F.lit(1)).alias("n")).first()
-    mark = f.agg(F.sum(F.xxhash64("repo_id", "path", "hash", "role", "language").cast("decimal(20,0)")).alias("f"), F.count(F.lit(1)).alias("n")).first()
-    at = f"{shared_dir(spark)}/quarrylight/index-{hashlib.sha256(repr((*state, *mark)).encode()).hexdigest()[:32]}"
+    """Where the inverted index of the current files lies: kept for the state of their tables, made if it isn't there."""
+    # the tables' files by name, size and time; no content is read
+    of = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([f"{sf_dir}/{n}.parquet" for n in ("files", "source_reads")])
+    state = of.agg(F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(20,0)")).alias("h"), F.count(F.lit(1)).alias("n")).first()
+    at = f"{shared_dir(spark)}/quarrylight/index-{hashlib.sha256(repr(tuple(state)).encode()).hexdigest()[:32]}"
     store.cached_result(spark, f"{at}/done", ["index"], lambda: _made_index(spark, sf_dir, at))
     return at
 
