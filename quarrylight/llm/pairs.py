@@ -32,7 +32,6 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,10 +92,9 @@ class PairTable:
     # -- files
 
     def _manifest(self) -> dict:
-        try:
-            last = self.spark.read.schema("value string, gen int").text(f"{self.path}/manifest").orderBy(F.desc("gen")).first()
-        except AnalysisException:
-            return {}
+        # a table that is new gets an empty manifest of generation 0, so that there is one to read
+        self.spark.range(0).select(F.lit("").alias("value")).write.mode("ignore").text(f"{self.path}/manifest/gen=0")
+        last = self.spark.read.schema("value string, gen int").text(f"{self.path}/manifest").orderBy(F.desc("gen")).first()
         return json.loads(last["value"]) if last else {}
 
     def _commit(self) -> None:
